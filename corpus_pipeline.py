@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veldt.llm.common import Stage, table
+from veldt.llm.decontaminate import remove
+from veldt.llm.mixing import mix
+from veldt.llm.ngram_join import keep_one
 from veldt.llm.quality_rules import filter_good
+from veldt.llm.token_store import store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that the quality rules reject go."""
     return filter_good(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays."""
+    return keep_one(docs, label="pipeline-keep")
 
-#: SQL can't express the learned stages; tests compare them with brute force.
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat until each source has its share."""
+    return mix(docs, label="pipeline-mix")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, read back: a row for each document written."""
+    return store(docs, public_tokenizers.path("word_bpe_49k.json"), "pipeline-tokens")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mixture),
+    ("token-ID / binary output", tokens),
+]
+
+#: SQL can't express the learned and searching stages; tests compare each with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for `documents`; each stage's rows are written and read again before the next."""
     docs, stage = table(spark, sf_dir, "documents"), Stage(spark, "pipeline")
-    for i, (name, step) in enumerate(STAGES):
+    for i, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stage.put(f"{i}", docs)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from veldt.llm.decontaminate import op7_decontamination
+from veldt.llm.mixing import op10_mixing
+from veldt.llm.ngram_join import op2_ngram_join
 from veldt.llm.quality_rules import op1_quality_rules
+from veldt.llm.token_store import op9_token_store
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op7_decontamination, op9_token_store, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
