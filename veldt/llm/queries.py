@@ -7,9 +7,10 @@ from veldt.llm.lm_score import op3_lm_score
 from veldt.llm.mixing import op10_mixing
 from veldt.llm.ngram_join import op2_ngram_join
 from veldt.llm.quality_rules import op1_quality_rules
+from veldt.llm.toxicity import op6_toxicity
 from veldt.llm.token_store import op9_token_store
 from veldt.llm.warc import OP8_SQL, op8_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_lm_score, op7_decontamination, op8_warc, op9_token_store, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_lm_score, op6_toxicity, op7_decontamination, op8_warc, op9_token_store, op10_mixing)}
 
 ORACLES: dict[str, str] = {"op8_warc": OP8_SQL}

@@ -13,6 +13,7 @@ first; an empty table writes no files and gives no rows; other columns aren't re
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,8 @@ class Encoder:
     """Ids of texts. The tokenizer drops white space and never looks across it, so pieces between ASCII white space are
     encoded once each and kept, up to a number of them."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
@@ -44,9 +46,10 @@ class Encoder:
         pieces = [t.split() for t in texts]
         fresh = list({p for ps in pieces for p in ps} - self.known.keys())
         if len(self.known) + len(fresh) > self.limit:
-            self.known, fresh = {}, list({p for ps in pieces for p in ps})
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
+            self.known.clear()
+            fresh = list({p for ps in pieces for p in ps})
+        for i in range(0, len(fresh), 2_000):
+            part = fresh[i : i + 2_000]
             got = self.tokenizer.encode_batch_fast([p.decode(errors="replace") for p in part], add_special_tokens=False)
             self.known.update((p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(part, got, strict=True))
         end = struct.pack("<H", END_ID)
@@ -190,8 +193,8 @@ def _files(path: str):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                some = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 100):
+                some = batch.slice(start, 100)
                 for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.batch(utf8(some.column("text"))), strict=True):
                     docs.append(doc), held.append(ids)
                     size += len(ids) // 2
