@@ -14,9 +14,13 @@ first; an empty table writes no files and gives no rows; other columns aren't re
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from typing import ClassVar
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,27 +38,80 @@ MAGIC = b"VWM1"
 
 class Encoder:
     """Ids of texts. The tokenizer drops white space and never looks across it, so pieces between ASCII white space are
-    encoded once each and kept, up to a number of them."""
+    encoded once each and kept: two generations of up to `limit` pieces, so that frequent ones stay."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    opened: ClassVar[dict[str, Encoder]] = {}
+
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.known, self.old = Tokenizer.from_file(path), limit, {}, {}
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.part_id, self.part = next((i, t.content) for i, t in sorted(special.items()) if t.content.startswith("<|"))
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """A worker's encoder, which its later tasks use again."""
+        if path not in cls.opened:
+            cls.opened[path] = cls(path)
+        return cls.opened[path]
 
-    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces = [t.split() for t in texts]
-        fresh = list({p for ps in pieces for p in ps} - self.known.keys())
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        pieces = [self._pieces(t) for t in texts]
+        fresh = set().union(*pieces).difference(self.known)
         if len(self.known) + len(fresh) > self.limit:
-            self.known.clear()
-            fresh = list({p for ps in pieces for p in ps})
-        for i in range(0, len(fresh), 2_000):
-            part = fresh[i : i + 2_000]
-            got = self.tokenizer.encode_batch_fast([p.decode(errors="replace") for p in part], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(part, got, strict=True))
+            self.old, self.known = self.known, {}
+            fresh = set().union(*pieces)
+        if kept := fresh & self.old.keys():
+            self.known.update((p, self.old[p]) for p in kept)
+            fresh -= kept
+        self._add(list(fresh))
         end = struct.pack("<H", END_ID)
         return [b"".join(map(self.known.__getitem__, ps)) + end for ps in pieces]
 
+    @staticmethod
+    def _pieces(text: bytes) -> list[bytes]:
+        """Lower-cased pieces; a full stop or comma that ends a piece after a letter is a piece. Texts in which a special
+        token may occur, whose case counts, are split at white space alone."""
+        return text.split() if b"<|" in text else _CLOSE.sub(rb" \1", text.lower()).split()
+
+    def _add(self, pieces: list[bytes]) -> None:
+        """Encodes many pieces in one text. Words of letters alone, in their normal form, are a pre-token each, so blanks can
+        part them; what else has no special token is parted by one; the rest is encoded piece by piece."""
+        simple, plain, rest = [], [], []
+        for p in pieces:
+            text = p.decode(errors="replace")
+            if text.isalpha() and text == text.lower() and (text.isascii() or is_normalized("NFC", text)):
+                simple.append((p, text))
+            else:
+                (rest if "<|" in text else plain).append((p, text))
+        for i in range(0, len(simple), 4000):
+            part = simple[i : i + 4000]
+            found = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            ids, word = array("H", found.ids).tobytes(), np.array(found.word_ids)
+            ends = (2 * np.searchsorted(word, np.arange(len(part)), "right")).tolist()
+            if word[-1] + 1 != len(part):
+                raise ValueError("a word was split before encoding")
+            start = 0
+            for (p, _), end in zip(part, ends, strict=True):
+                self.known[p] = ids[start:end]
+                start = end
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            ids = np.array(self._ids(self.part.join(t for _, t in part)), "<u2")
+            for (p, _), x in zip(part, np.split(ids, np.flatnonzero(ids == self.part_id)), strict=True):
+                self.known[p] = x[x != self.part_id].tobytes()
+        for p, text in rest:
+            self.known[p] = array("H", self._ids(text)).tobytes()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+#: A full stop or comma between an ASCII letter and white space or the end.
+_CLOSE = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+
 
 def _pack(bits: np.ndarray) -> tuple[bytes, bytes]:
     """A plane's bits and the number of ones before every SUPER-th bit."""
@@ -185,7 +242,7 @@ def _files(path: str):
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, part = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, shard, part = Encoder.of(path), TaskContext.get().partitionId(), 0
         docs, held, size = [], [], 0
 
         def file() -> pa.RecordBatch:
