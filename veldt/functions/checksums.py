@@ -21,7 +21,7 @@ def _at(value: Column, k: int) -> Column:
 def luhn(value: Column) -> Column:
     """The digits of the value, whatever parts them, have a Luhn sum divisible by 10 (and there are some)."""
     d = digits(value)
-    return F.when(F.length(d) > 0, F.luhn_check(d)).otherwise(False)
+    return F.when(F.length(d) > 0, F.call_function("luhn_check", d)).otherwise(False)
 
 
 def iban(value: Column) -> Column:
