@@ -1,0 +1,117 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from veldt.functions.validators import Candidate, validate
+from veldt.plans import catalogue, scan
+from veldt.plans.catalogue import Catalogue, CatalogueError, Match, Policy, Rule
+from veldt.sources import items
+
+
+def token(n, step=17, start=11):
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return "".join(alphabet[(i * step + start) % 62] for i in range(n))
+
+
+def test_bundled_catalogue_is_whole():
+    c = catalogue.load()
+    assert (len(c.flat()), len(c.ignore), c.warnings) == (94, 101, [])
+    assert {r.name for r in c.flat() if not r.enabled} == {"International Bank Account Number", "Australian Medicare Number", "Australian Tax File Number", "Medical Record Number (Contextual)", "Passport Number (Contextual)"}
+
+
+def test_file_forms(tmp_path):
+    (tmp_path / "a.json").write_text('// a rule\n{"NAME": "R", "Matches": [{"Target": "content", "Patterns": ["x//y", "a,]"], "IncludedExtensions": ["txt"],}],}')
+    (tmp_path / "b.json").write_text(json.dumps([{"name": "D", "label": "d", "patterns": ["x"], "includedExtensions": [".txt"]}, {"name": "P", "classifierNames": ["D", "Gone"], "severity": "low"}, {"matchTarget": "FileName", "pattern": "*.tmp"}]))
+    c = catalogue.load(tmp_path)
+    assert [r.name for r in c.rules] == ["R", "D"] and c.rules[0].matches[0].patterns == ("x//y", "a,]")
+    assert [p.name for p in c.reporting()] == ["R", "P"] and c.missing() == ["Gone"] and len(c.ignore) == 1
+
+
+def test_ignore_only_folder_adds(tmp_path):
+    (tmp_path / "i.json").write_text('{"matchTarget": "FileExtension", "pattern": ".zzz"}')
+    c = catalogue.load(tmp_path)
+    assert len(c.flat()) == 94 and len(c.ignore) == 102
+
+
+def test_bad_rules_are_left_out_and_bad_files_stop(tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"name": "A", "matches": [{"target": "Content", "patterns": ["("], "includedExtensions": [".txt"]}]}, {"name": "B", "matches": [{"target": "Content", "patterns": ["x"]}]}, {"name": "C", "validator": "Nope", "matches": [{"target": "FileName", "patterns": ["x"]}]}]))
+    assert catalogue.load(tmp_path).rules == [] and len(catalogue.load(tmp_path).warnings) == 3
+    (tmp_path / "b.json").write_text("{")
+    with pytest.raises(CatalogueError):
+        catalogue.load(tmp_path)
+
+
+def found(spark, files, cat=None, **options):
+    rows = spark.createDataFrame(files, "path string, text string")
+    out = scan.findings(items.items(rows, F.col("path"), F.col("text")), cat or catalogue.load(), scan.Options(**options)).collect()
+    return {(r.rule_name, r.resource_path): r for r in out}
+
+
+def test_default_detections(spark):
+    files = [
+        ("a/.env", "x"), ("a/id_rsa", ""), ("c/cards.txt", "pay 4111 1111 1111 1111 now or 4111-1111-1111-1112"), ("d/logins.json", '{"encryptedPassword": "QUJDREVGRw=="}'), ("e/other.json", '{"encryptedPassword": "QUJDREVGRw=="}'),
+        ("f/x.py", f"k = AKIA{token(16).upper()}"), ("g/y.md", f"ghp_{token(36)} then glpat-{token(24)}"), ("node_modules/q/id_rsa", "x"), ("x/node_modules/q/.env", "x"), ("h/z.txt", None), ("\\\\srv\\C$", ""), ("k/test.cfg", f"npm_{token(36)}"), ("m/s.json", "AccountKey=" + token(86) + "=="),
+    ]
+    got = found(spark, files)
+    assert set(got) == {
+        ("Shell RC / Environment File", "a/.env"), ("SSH Keys", "a/id_rsa"), ("Credit Card Number", "c/cards.txt"), ("Firefox Encrypted Credential", "d/logins.json"), ("AWS Access Key ID", "f/x.py"), ("GitHub Personal Access Token", "g/y.md"),
+        ("GitLab Personal Access Token", "g/y.md"), ("Match Administrative Shares", "\\\\srv\\C$"), ("Azure Connection String", "m/s.json"),
+    }
+    card = got["Credit Card Number", "c/cards.txt"]
+    assert card.instance_count == 1 and card.value.startswith("41*") and "4111 1111" not in card.snippet and card.severity == "High"
+
+
+def test_extension_of_text_scope(spark):
+    assert ("NPM Access Token", "k/a.json") in found(spark, [("k/a.json", f"npm_{token(36)}"), ("k/a.bin", f"npm_{token(36)}")])
+    assert ("NPM Access Token", "k/a.bin") not in found(spark, [("k/a.bin", f"npm_{token(36)}")])
+
+
+def test_minimum_matches_stop_and_scope(spark):
+    rule = lambda n, **m: Rule(n, (Match("Content", ("x[0-9]",), extensions=(".txt",)),), **m)
+    files = [("p/a.txt", "x1 x2 x3"), ("q/b.txt", "x1")]
+    assert {k for k in found(spark, files, Catalogue([rule("A", min_match=3)]))} == {("A", "p/a.txt")}
+    assert not found(spark, files, Catalogue([rule("A", min_match=4)]))
+    assert {k for k in found(spark, files, Catalogue([rule("A", include_paths=("q/*",))]))} == {("A", "q/b.txt")}
+    assert {k for k in found(spark, files, Catalogue([rule("A", exclude_paths=("*B.TXT",))]))} == {("A", "p/a.txt")}
+    stopped = found(spark, files, Catalogue([rule("A", stop=True), rule("B")]))
+    assert set(stopped) == {("A", "p/a.txt"), ("A", "q/b.txt")} and stopped["A", "p/a.txt"].instance_count == 1
+    two = Catalogue([rule("A")], [Policy("Other", ("A",), severity="Low")])
+    assert set(found(spark, files[1:], two)) == {("A", "q/b.txt"), ("Other", "q/b.txt")}
+    assert not found(spark, files, Catalogue([rule("A", enabled=False)]))
+    assert not found(spark, files, Catalogue([Rule("A", (Match("Content", ("x[0-9]",), extensions=(".txt",)),), validator="unknown")]))
+
+
+def test_keywords_case_entropy_and_groups(spark):
+    cased = Rule("K", (Match("Content", ("v=(\\w+)",), case_sensitive=True, keywords=("Key",), extensions=(".txt",)),))
+    assert not found(spark, [("a.txt", "key v=abc")], Catalogue([cased]))
+    got = found(spark, [("a.txt", "Key v=abc")], Catalogue([cased]), keep_values=True)
+    assert got["K", "a.txt"].value == "abc"
+    high = Rule("E", (Match("Content", ("[a-z]{4}",), extensions=(".txt",)),), entropy=1.5)
+    assert found(spark, [("a.txt", "aabb abcd")], Catalogue([high]))["E", "a.txt"].instance_count == 1
+
+
+VALID = [
+    ("Luhn", "4111-1111-1111-1111", True), ("Luhn", "4111111111111112", False), ("Iban", "GB82 WEST 1234 5698 7654 32", True), ("Iban", "GB82WEST12345698765433", False), ("AustralianTfn", "123 456 782", True), ("AustralianTfn", "123 456 789", False),
+    ("AustralianMedicare", "2123 45670 1", True), ("AustralianMedicare", "2123 45671 1", False), ("ContextualIdentifier", "MRN: A12345", True), ("ContextualIdentifier", "MRN: ABCDEF", False), ("GitHubPat", "ghp_" + token(36), True), ("GitHubPat", "ghp_short", False),
+    ("NpmAccessToken", "npm_" + token(36), True), ("PyPiApiToken", "pypi-" + token(85), True), ("PyPiApiToken", "pypi-" + token(80), False), ("SlackToken", "xoxb-" + token(12) + "-" + token(24), True), ("SlackToken", "xoxb-" + token(30), False),
+    ("TelegramBotToken", "123456789:" + token(35), True), ("TelegramBotToken", "000000000:" + token(35), False), ("MailchimpApiKey", "0123456789abcdef0123456789abcdef-us12", True), ("MailchimpApiKey", "0123456789abcdef0123456789abcdef-us0", False),
+    ("BasicAuth", "Authorization: Basic dXNlcjpwYXNz", True), ("BasicAuth", "Authorization: Basic dXNlcg==", False), ("Jwt", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln", True), ("Jwt", "eyJhbGciOiJub25lIn0.eyJzdWIiOiIxIn0.c2ln", False), ("Jwt", "eyJhbGciOiJub25lIn0.eyJzdWIiOiIxIn0.", True),
+    ("SqlConnectionString", "Server=db;User=sa;Password=Kd83!xQ2", True), ("SqlConnectionString", "Password=Kd83!xQ2;User=sa", False), ("PostgresConnectionString", "postgres://u:Kd83xQ2z@db/x", True), ("PostgresConnectionString", "postgres://db/x", False),
+    ("Heroku", "9f86d081-884c-4d65-9a2f-eaa0c55ad015", True), ("Heroku", "00000000-0000-0000-0000-000000000000", False), ("OpenAiApiKey", "sk-proj-" + token(40), True), ("VaultToken", "hvs." + token(30), True), ("VaultToken", "s." + token(30), False),
+    ("TerraformToken", "tftk." + token(20), True), ("StripeSecretKey", "sk_live_" + token(24), True), ("BearerToken", token(24), True), ("BearerToken", "ghp_" + token(36), False), ("unheard", "x", False),
+]
+
+
+@pytest.mark.parametrize(("name", "value", "good"), VALID)
+def test_validators(name, value, good):
+    assert validate(name, Candidate(value))[0] is good
+
+
+def test_confidence():
+    card = "4111111111111111"
+    assert validate("Luhn", Candidate(card, "a/test/x.txt"))[1] == 0.1
+    assert validate("Luhn", Candidate(card, "a/x.txt", f"an example {card}", 11))[1] == 0.2
+    assert validate("GitHubPat", Candidate("ghp_" + "a" * 36))[1] == 0.15
+    assert validate("GitHubPat", Candidate("ghp_" + token(36)))[1] == 1.0
+    assert validate("VaultToken", Candidate("s." + token(30), "", "VAULT_TOKEN=s." + token(30), 12))[0]
