@@ -25,9 +25,15 @@ WINDOW_CHARS, OVERLAP, CONTEXT, SNIPPET = 65_536, 4_096, 512, 50
 _ARROW = pa.schema([("path", pa.string()), ("ord", pa.int32()), ("idx", pa.int32()), ("len", pa.int32()), ("value", pa.string()), ("snippet", pa.string()), ("snippet_start", pa.int32()), ("confidence", pa.float64()), ("reason", pa.string())])
 
 
+def one_of(ext: Column, scope: frozenset[str]) -> Column:
+    """Whether an extension is in a set: one literal that holds the set, so that a plan of many rules stays small."""
+    mark = "\x1f"
+    return F.lit(mark + mark.join(sorted(scope)) + mark).contains(F.concat(F.lit(mark), ext, F.lit(mark)))
+
+
 def in_scope(rule: Rule, ext: Column) -> Column:
     scope = rule.scope()
-    return ext.isin(*sorted(scope)) if scope else F.lit(True)
+    return one_of(ext, scope) if scope else F.lit(True)
 
 
 def has_keyword(rule: Rule, text: Column, lowered: Column) -> Column:
@@ -40,14 +46,13 @@ def item_gate(rules: list[Rule], ext: Column, metadata: Column) -> Column:
     scopes = [r.scope() for r in rules if r.content()]
     if any(not s for s in scopes):
         return F.lit(True)
-    every = sorted(frozenset().union(*scopes)) if scopes else []
-    return (ext.isin(*every) if every else F.lit(False)) | (F.size(metadata) > 0)
+    return (one_of(ext, frozenset().union(*scopes)) if scopes else F.lit(False)) | (F.size(metadata) > 0)
 
 
-def to_try(rules: list[Rule], ext: Column, text: Column, metadata: Column) -> Column:
-    """The places of the content rules whose prefilter passes."""
-    lowered = F.lower(text)
-    opened = F.transform(metadata, lambda m: m["rule"])
+def to_try(rules: list[Rule], ext: Column, text: Column, metadata: Column, lowered: Column | None = None) -> Column:
+    """The places of the content rules whose prefilter passes. `lowered` is the text in lower case, if it is at hand."""
+    lowered = F.lower(text) if lowered is None else lowered
+    opened = F.transform(metadata, lambda m: m["rule"]) if any(r.parent for r in rules) else None
     found = []
     for k, r in enumerate(rules):
         if r.content():
@@ -97,7 +102,9 @@ def candidates(items: DataFrame, rules: list[Rule]) -> DataFrame:
     if not any(r.content() for r in rules):
         return items.sparkSession.createDataFrame([], CANDIDATE)
     gated = items.filter(F.col("text").isNotNull() & (F.length("text") > 0)).filter(item_gate(rules, F.col("ext"), F.col("metadata")))
-    tried = gated.select("path", "text", to_try(rules, F.col("ext"), F.col("text"), F.col("metadata")).alias("tries")).filter(F.size("tries") > 0)
+    # A column of its own, as it is read many times: Catalyst keeps it apart and works it out once a row.
+    folded = gated.withColumn("lowered", F.lower("text"))
+    tried = folded.select("path", "text", to_try(rules, F.col("ext"), F.col("text"), F.col("metadata"), F.col("lowered")).alias("tries")).filter(F.size("tries") > 0)
     return tried.mapInArrow(_matcher(rules), CANDIDATE)
 
 

@@ -38,12 +38,15 @@ def ignored(rules: Iterable[IgnoreRule], path: Column, name: Column) -> Column:
     live = [r for r in rules if r.enabled]
     endings = [r.pattern.lstrip("*").lower() for r in live if r.target == "FileExtension" and not _wild(r.pattern.lstrip("*"))]
     names = [r.pattern.lower() for r in live if r.target == "FileName" and not _wild(r.pattern)]
-    rest = [r for r in live if not ((r.target == "FileExtension" and not _wild(r.pattern.lstrip("*"))) or (r.target == "FileName" and not _wild(r.pattern)))]
-    tests = [matches(r, path, name) for r in rest]
+    wild_paths = [paths.wildcard_regex(r.pattern.replace("/", "\\").lower(), False) for r in live if r.target == "DirectoryPath" and _wild(r.pattern)]
+    easy = {id(r) for r in live if (r.target == "FileExtension" and not _wild(r.pattern.lstrip("*"))) or (r.target == "FileName" and not _wild(r.pattern)) or (r.target == "DirectoryPath" and _wild(r.pattern))}
+    tests = [matches(r, path, name) for r in live if id(r) not in easy]
     if names:
         tests.append(F.lower(name).isin(*names))
     if endings:
         tests.append(F.lower(name).rlike("(?:" + "|".join(e.replace(".", r"\.") for e in endings) + ")$"))
+    if wild_paths:
+        tests.append(F.lower(paths.normal(path)).rlike("|".join(wild_paths)))
     return reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests), F.lit(False))
 
 

@@ -6,6 +6,8 @@ match reports only where its resource is the item itself, but every match opens
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,16 +50,41 @@ def resource(m: Match, path: Column, name: Column) -> Column:
     return F.when(path.rlike(_java(m)), path)
 
 
+def _looked_up(rules: list[Rule], target: str, key: Column) -> Column | None:
+    """The places of the rules whose literal, case-blind names have the key: one map for all rules."""
+    held: dict[str, list[int]] = {}
+    for k, r in enumerate(rules):
+        for m in r.matches:
+            if m.target == target and m.literal and not m.case_sensitive:
+                for p in m.patterns:
+                    name = p.lower() if target == "FileName" else "." + p.lower().lstrip("*").lstrip(".")
+                    held.setdefault(name, []).append(k)
+    if not held:
+        return None
+    return F.coalesce(F.from_json(F.lit(json.dumps(held)), "map<string,array<int>>")[key], F.array().cast("array<int>"))
+
+
 def metadata_matches(rules: list[Rule], path: Column, name: Column) -> Column:
-    """Of an item, the matched rules: array of (ord, rule, resource), in the rules' order."""
-    found = []
+    """Of an item, the matched rules: array of (ord, rule, resource), in the rules' order, a rule once. Literal names and
+    extensions of all rules are a map lookup each; the other blocks are tests of their own."""
+    kind = "array<struct<ord:int,rule:string,resource:string>>"
+    lists = [x for x in (_looked_up(rules, "FileName", F.lower(name)), _looked_up(rules, "FileExtension", paths.extension(name))) if x is not None]
+    names = F.from_json(F.lit(json.dumps([r.name for r in rules])), "array<string>")
+    parts = [F.transform(x, lambda k: F.struct(k.alias("ord"), F.get(names, k).alias("rule"), path.alias("resource"))) for x in lists]
+    tests = []
     for k, r in enumerate(rules):
-        blocks = [resource(m, path, name) for m in r.matches if m.target != "Content"]
+        blocks = [resource(m, path, name) for m in r.matches if m.target != "Content" and not (m.literal and not m.case_sensitive and m.target in ("FileName", "FileExtension"))]
         if blocks:
             hit = F.coalesce(*blocks)
-            found.append(F.when(hit.isNotNull(), F.struct(F.lit(k).alias("ord"), F.lit(r.name).alias("rule"), hit.alias("resource"))))
-    empty = F.array().cast("array<struct<ord:int,rule:string,resource:string>>")
-    return F.array_compact(F.array(*found)) if found else empty
+            tests.append(F.when(hit.isNotNull(), F.struct(F.lit(k).alias("ord"), F.lit(r.name).alias("rule"), hit.alias("resource"))))
+    if tests:
+        parts.append(F.array_compact(F.array(*tests)))
+    if not parts:
+        return F.array().cast(kind)
+    every = F.concat(*[p.cast(kind) for p in parts])
+    # Of a rule's matches the item itself goes before a directory above it.
+    first = lambda all_: F.filter(all_, lambda m, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda e: e["ord"] == m["ord"]))
+    return F.when(F.size(every) > 1, F.array_sort(F.transform(F.array(every), first)[0])).otherwise(every)
 
 
 def is_direct(res: Column, path: Column) -> Column:

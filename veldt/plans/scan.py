@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.operators import content, ignore, metadata, policies
-from veldt.plans.catalogue import Catalogue
+from veldt.plans.catalogue import DOCUMENTS, Catalogue
 
 
 @dataclass(frozen=True)
@@ -39,9 +39,7 @@ def raw(items: DataFrame, catalogue: Catalogue, options: Options = Options()) ->
     hits = metadata.explode_matches(ready.select("path", "metadata"))
     texts = ready.filter("false") if options.enumerate_only else ready
     if not options.binary:
-        from veldt.plans.catalogue import DOCUMENTS
-
-        texts = texts.filter(~F.col("ext").isin(*sorted(DOCUMENTS)))
+        texts = texts.filter(~content.one_of(F.col("ext"), DOCUMENTS))
     return policies.raw_findings(spark, hits, content.candidates(texts.select("path", "ext", "text", "metadata"), rules), catalogue, options.keep_values)
 
 
