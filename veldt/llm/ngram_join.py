@@ -31,7 +31,8 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 #: At a similarity of 0.8, all 32 bands of 5 values miss with a chance of 3e-6.
 BANDS, BAND_ROWS, STEP = 32, 5, 16
 VALUES = BANDS * BAND_ROWS
-BLOCK = 256
+#: Sets in a block, and how many of them are compared with another block at a time.
+BLOCK, SLICE = 1024, 64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _rng.integers(0, 2**64, VALUES, np.uint64)
 _ODD = _rng.integers(0, 2**64, VALUES, np.uint64) | np.uint64(1)
@@ -114,6 +115,25 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b:
     return total[a, b].astype(np.int64)
 
 
+def _alike(values: np.ndarray, sets: list[bytes], a: np.ndarray, b: np.ndarray, need: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b), those whose similarity reaches the threshold: pruned step by step, then verified."""
+    same = np.zeros(len(a), np.int32)
+    for k, least in enumerate(need):
+        part = slice(k * STEP, (k + 1) * STEP)
+        same = same + (values[a, part] == values[b, part]).sum(1, dtype=np.int32)
+        alive = same >= least
+        a, b, same = a[alive], b[alive], same[alive]
+    if not len(a):
+        return a, b
+    used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    some = [np.frombuffer(sets[i], np.uint64) for i in used]
+    sizes = np.array([len(s) for s in some])
+    x, y = back[: len(a)], back[len(a) :]
+    common = _overlaps(some, some, x, y)
+    alike = common >= threshold * (sizes[x] + sizes[y] - common) - 1e-9
+    return a[alike], b[alike]
+
+
 def _linked(rows: pa.Table, need: list[int], threshold: float) -> tuple[np.ndarray, ...] | None:
     """Of one pair of blocks: classes, the copies that each links to, and the least class of its tree."""
     first, second = rows["i"][0].as_py(), rows["j"][0].as_py()
@@ -128,26 +148,14 @@ def _linked(rows: pa.Table, need: list[int], threshold: float) -> tuple[np.ndarr
     fresh = mine[at[0]] @ mine[at[1]].T == 0
     if first == second:
         fresh = np.triu(fresh, 1)
-    a, b = np.nonzero(fresh)
-    a, b = at[0][a], at[1][b]
     values = np.frombuffer(b"".join(rows["values"].to_pylist()), np.uint32).reshape(len(ids), VALUES)
-    same = np.zeros(len(a), np.int32)
-    for k, least in enumerate(need):
-        if not len(a):
-            return None
-        part = slice(k * STEP, (k + 1) * STEP)
-        same = same + (values[a, part] == values[b, part]).sum(1, dtype=np.int32)
-        alive = same >= least
-        a, b, same = a[alive], b[alive], same[alive]
-    if not len(a):
-        return None
-    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
-    sizes = np.array([len(s) for s in sets])
-    used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    some = [sets[i] for i in used]
-    common = _overlaps(some, some, back[: len(a)], back[len(a) :])
-    alike = common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9
-    a, b = a[alike], b[alike]
+    sets = rows["shingles"].to_pylist()
+    pairs = []
+    for k in range(0, len(fresh), SLICE):
+        a, b = np.nonzero(fresh[k : k + SLICE])
+        a, b = _alike(values, sets, at[0][a + k], at[1][b], need, threshold)
+        pairs.append((a, b))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
     if not len(a):
         return None
     copies = rows["copies"].to_numpy()
