@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def normal(path: Column) -> Column:
     """Back slashes as separators, the long-path prefix of a share removed."""
-    return F.regexp_replace(F.translate(path, "/", "\\"), r"^\\\\\?\\UNC\\", r"\\\\\\\\")
+    return F.regexp_replace(F.translate(path, "/", "\\"), r"^\\\\\?\\UNC\\", r"\\\\")
 
 
 def leaf(path: Column) -> Column:
