@@ -42,7 +42,7 @@ class Encoder:
 
     opened: ClassVar[dict[str, Encoder]] = {}
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
 
@@ -250,8 +250,8 @@ def _files(path: str):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                some = batch.slice(start, 100)
+            for start in range(0, batch.num_rows, 400):
+                some = batch.slice(start, 400)
                 for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.batch(utf8(some.column("text"))), strict=True):
                     docs.append(doc), held.append(ids)
                     size += len(ids) // 2
