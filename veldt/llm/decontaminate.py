@@ -224,6 +224,20 @@ def remove(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"), F.col("longest").alias("longest_match"))
+    return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
 
 
+
+
+OP7_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g from (select *, least(10, len(w)) as k from items) t, unnest(range(1, len(w) - k + 2)) r(i) where k > 0),
+sizes as (select distinct k from windows),
+places as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g from docs, sizes, unnest(range(1, len(w) - k + 2)) r(i)),
+found as (select doc_id, i, p.k, item_id from places p join windows using (k, g)),
+hit as (select doc_id, count(distinct j) as n_hit from found, unnest(range(i, i + k)) r(j) group by doc_id),
+named as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from found group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit using (doc_id) left join named using (doc_id)
+"""

@@ -244,3 +244,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), label="op2")
+
+
+OP2_SQL = r"""
+with recursive words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+grams as (select distinct doc_id, array_to_string(w[i:i + k - 1], ' ') as g from (select *, least(5, len(w)) as k from words) t, unnest(range(1, len(w) - k + 2)) r(i) where k > 0),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select x, y from pairs join sizes s on s.doc_id = x join sizes t on t.doc_id = y where c >= 0.8 * (s.n + t.n - c) - 1e-9),
+reached(doc_id, root) as (select doc_id, doc_id from documents union select y, root from reached join links on x = doc_id)
+select doc_id, min(root) as class_id, (select count(*) from links where x = r.doc_id)::bigint as n_links from reached r group by doc_id
+"""
