@@ -273,7 +273,7 @@ def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-select 'Token Assignment' as policy, 'Token Assignment' as classifier, sum(len(regexp_extract_all(text, '{HEX}')))::bigint as matches from documents
+select 'Token Assignment' as policy, 'Token Assignment' as classifier, sum(len(regexp_extract_all(text, '{HEX}')))::bigint as matches from documents having count(*) filter (where regexp_matches(text, '{HEX}')) > 0
 """)
 def rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.rule_stats(scan.raw(_docs(spark, sf_dir), _only(_hex_rule())))
