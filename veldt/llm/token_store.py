@@ -14,7 +14,6 @@ first; an empty table writes no files and gives no rows; other columns aren't re
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -66,17 +65,25 @@ class Encoder:
         if kept := fresh & self.old.keys():
             self.known.update((p, self.old[p]) for p in kept)
             fresh -= kept
-        self._add(list(fresh))
+        self._add(fresh)
         end = struct.pack("<H", END_ID)
         return [b"".join(map(self.known.__getitem__, ps)) + end for ps in pieces]
 
     @staticmethod
     def _pieces(text: bytes) -> list[bytes]:
-        """Lower-cased pieces; a full stop or comma that ends a piece after a letter is a piece. Texts in which a special
-        token may occur, whose case counts, are split at white space alone."""
-        return text.split() if b"<|" in text else _CLOSE.sub(rb" \1", text.lower()).split()
-
-    def _add(self, pieces: list[bytes]) -> None:
+        """The pieces of a text in lower case, as the tokenizer has them; their case stays where a special token may occur."""
+        return text.split() if b"<|" in text else text.lower().split()
+
+    def _add(self, pieces: set[bytes]) -> None:
+        """Ids of pieces that aren't known. A full stop or comma at the end after a letter is a pre-token of its own, so such
+        pieces are made of two known ones."""
+        ended = [p for p in pieces if len(p) > 1 and p[-1] in b".," and 97 <= p[-2] <= 122]
+        stems = {p[:-1] for p in ended} | {p[-1:] for p in ended}
+        self._encode(list((pieces.difference(ended) | stems).difference(self.known)))
+        for p in ended:
+            self.known[p] = self.known[p[:-1]] + self.known[p[-1:]]
+
+    def _encode(self, pieces: list[bytes]) -> None:
         """Encodes many pieces in one text. Words of letters alone, in their normal form, are a pre-token each, so blanks can
         part them; what else has no special token is parted by one; the rest is encoded piece by piece."""
         simple, plain, rest = [], [], []
@@ -109,10 +116,6 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-#: A full stop or comma between an ASCII letter and white space or the end.
-_CLOSE = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
-
-
 def _pack(bits: np.ndarray) -> tuple[bytes, bytes]:
     """A plane's bits and the number of ones before every SUPER-th bit."""
     whole = np.zeros(-(-len(bits) // SUPER) * SUPER, np.uint8)
