@@ -115,8 +115,9 @@ class Model:
         return float(1 / (1 + math.exp(-min(30, max(-30, z)))))
 
 
-def learn(labelled: list[tuple[bytes, int]], window: int = WINDOW, size: int = DICTIONARY) -> Model:
-    """labelled: texts and whether they are toxic, in an order that doesn't depend on the label."""
+def learn(labelled: list[tuple[bytes, int]], share: float | None = None, window: int = WINDOW, size: int = DICTIONARY) -> Model:
+    """labelled: texts and whether they are toxic, in an order that doesn't depend on the label. share: of toxic documents
+    among all labelled ones, where the sample has another share; scores are probabilities at that share."""
     classes = [[t for t, y in labelled if y == k] for k in (0, 1)]
     if not all(classes):
         return Model(b"", b"", window, constant=len(classes[1]) / max(1, len(labelled)))
@@ -132,6 +133,9 @@ def learn(labelled: list[tuple[bytes, int]], window: int = WINDOW, size: int = D
     model = Model(_dictionary(loud[:100_000], size), _dictionary(quiet[:60_000], size), window).open()
     rest = [(t, k) for k in (0, 1) for t in classes[k][cut[k] :] or classes[k]]
     model.calibrate([t for t, _ in rest], [k for _, k in rest])
+    if share is not None and 0 < share < 1:
+        toxic_here = sum(k for _, k in rest)
+        model.weights[0] += math.log(share / (1 - share)) - math.log(toxic_here / (len(rest) - toxic_here))
     return model
 
 
@@ -139,9 +143,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """One label for each doc_id that isn't held out."""
+    return labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def toxic_share(labels: DataFrame) -> float:
+    return float(known_labels(labels).agg(F.avg("toxic")).first()[0] or 0.0)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, int]]:
     """Texts and labels of at most `sample` rows of each class that aren't held out, by hash order of doc_id."""
-    known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known_labels(labels)
     order = F.xxhash64("doc_id")
     picks = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     few = picks[0].unionByName(picks[1])  # at most 2 * sample rows of two numbers
@@ -166,5 +179,6 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = classify(docs, learn(labelled(docs, table(spark, sf_dir, "labels"))))
+    labels = table(spark, sf_dir, "labels")
+    found = classify(docs, learn(labelled(docs, labels), toxic_share(labels)))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
