@@ -168,6 +168,39 @@ def test_line_runs(docs, empty, spark):
     assert line_dedup.dedup(frame).columns == frame.columns and line_dedup.report(empty).count() == 0
 
 
+def brute_runs(texts):
+    """By text, the lines in runs of 50 words or more that an earlier place (text, then line) has."""
+    lines = [(t or "").split("\n") for t in texts]
+    size = lambda x: len(WORD.findall(x))
+    out = []
+    for d, own in enumerate(lines):
+        gone = set()
+        for e in range(d + 1):
+            for shift in range(-len(own) + 1, len(lines[e]) if e < d else 0):
+                run = []
+                for i in range(len(own) + 1):
+                    if i < len(own) and 0 <= i + shift < len(lines[e]) and own[i] == lines[e][i + shift]:
+                        run.append(i)
+                    else:
+                        gone |= set(run) if sum(size(own[k]) for k in run) >= 50 else set()
+                        run = []
+        out.append(",".join(map(str, sorted(gone))))
+    return out
+
+
+def test_line_runs_whose_parts_occur_first_elsewhere(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(25)) for c in "abc")
+    texts = [one, two, three, *["\n".join([one, two, three])] * 2]
+    rng = random.Random(8)
+    pool = [*(" ".join(f"p{k}w{j}" for j in range(n)) for k, n in enumerate([1, 5, 9, 12, 20, 25, 30, 49, 50, 60])), "", "", " "]
+    for _ in range(60):
+        texts.append("\n".join(rng.choice(pool) for _ in range(rng.choice([2, 5, 9, 14]))))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.deleted for r in line_dedup.report(frame).collect()}
+    want = brute_runs(texts)
+    assert want[4] == "0,1,2" and [got[i] for i in range(len(texts))] == want
+
+
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 

@@ -2,11 +2,16 @@
 
 A gram is the lines from one on that hold GRAM words; of the grams that start within WINNOW words, the one of the least hash
 is a fingerprint. Any run of whole lines that two places share and that holds GRAM + WINNOW words or more then has a common
-fingerprint in both. Each fingerprint's places are joined to its first place (by doc_id, then row), never to each other; the
-match is extended over equal lines both ways, and runs of MIN_RUN words or more are deleted from the later place.
+fingerprint in both, so only texts with a fingerprint that occurs twice can repeat anything. Of these, the key of a match is
+the least run itself: from each line on, and back from each line, the fewest lines that hold MIN_RUN words. Each key's places
+are joined to its first place (by doc_id, then row, then line), never to each other; all but the first are deleted.
+
+Every run of MIN_RUN words or more is made of such least runs and of lines without words beside them (which have keys of their
+own, chained to that of the least run), and each of them occurs first where the whole run does or earlier. So exactly the
+lines go that are in a run of that many words of which an earlier place has an equal one, whichever places have its parts.
 
 All is DataFrame expressions; texts are read once and reduced to hashes and word counts of lines. Places of a frequent
-fingerprint meet one row, so a passage in a third of all documents is a skewed join that Spark splits, not a group.
+key meet one row, so a passage in a third of all documents is a skewed join that Spark splits, not a group.
 
 Defined cases: a null or empty text is one line without words and stays; lines without words are matched as lines but never
 start a gram; null doc_ids come after all others; rows that repeat are documents of their own, so the later lose what the
@@ -42,32 +47,61 @@ def fingerprints(rows: DataFrame, gram: int = GRAM, winnow: int = WINNOW) -> Dat
     return grams.select("row", "doc_id", least.alias("least")).filter("least is not null").select("row", "doc_id", (-F.col("least.back")).alias("pos"), F.col("least.print").alias("print")).distinct()
 
 
-def _runs(least_words: int) -> Column:
-    """Maximal runs of lines i with hashes[i] = first_hashes[i + shift], of enough words, as [from, to)."""
-    low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("hashes"), F.size("first_hashes") - F.col("shift"))
-    differs = lambda i: (i < low) | (i >= high) | (F.get("hashes", i) != F.get("first_hashes", i + F.col("shift")))
-    breaks = F.filter(F.sequence(low - 1, high), lambda i: F.coalesce(differs(i), F.lit(True)))
-
-    def between(b: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda k: F.struct((F.get(b, k - 1) + 1).alias("from"), F.get(b, k).alias("to")))
-        words = lambda r: F.aggregate(F.slice("words", r["from"] + 1, r["to"] - r["from"]), F.lit(0), lambda n, w: n + w)
-        return F.filter(made, lambda r: (r["to"] > r["from"]) & (words(r) >= least_words))
-
-    return bind(breaks, between)
+def _chain(key: Column, lines: Column, side: int) -> Column:
+    """key, and the keys of the run with one more of these lines at a side each."""
+    more = lambda a, line: F.xxhash64(a["last"], line, F.lit(side))
+    start = F.struct(key.alias("last"), F.array(key).alias("all"))
+    grown = F.aggregate(lines, start, lambda a, line: bind(more(a, line), lambda k: F.struct(k.alias("last"), F.concat(a["all"], F.array(k)).alias("all"))), lambda a: a["all"])
+    return F.when(F.size(lines) > 0, grown).otherwise(F.array(key))
+
+
+def least_runs(rows: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """(row, doc_id, key, from, to) of the least runs [from, to) of lines with min_run words, from (row, doc_id, hashes, words)."""
+    flat = rows.select("row", "doc_id", F.posexplode(F.arrays_zip("hashes", "words")).alias("pos", "line")).select("row", "doc_id", "pos", "line.*")
+    upto = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    has = F.col("words") > 0
+    nth = flat.withColumn("stop", F.sum("words").over(upto).cast("long")).withColumn("nth", F.sum(has.cast("int")).over(upto) - has.cast("int"))
+    own = lambda c: F.max(F.when(has, F.col(c))).alias(c)
+    # One row for each line with words, and what stands between it and the one before.
+    bare = F.transform(F.sort_array(F.collect_list(F.when(~has, F.struct("pos", "hashes")))), lambda x: x["hashes"])
+    lines = nth.groupBy("row", "nth").agg(F.first("doc_id").alias("doc_id"), own("pos"), own("hashes"), own("words"), F.max("stop").alias("stop"), bare.alias("before"))
+    after = F.coalesce(F.lead("before").over(Window.partitionBy("row").orderBy("nth")), F.array().cast("array<bigint>"))
+    lines = lines.withColumn("after", after).filter("pos is not null").withColumn("start", F.col("stop") - F.col("words")).withColumn("gap", F.xxhash64("before"))
+    ahead = Window.partitionBy("row").orderBy("start").rangeBetween(0, min_run - 1)
+    back = Window.partitionBy("row").orderBy("stop").rangeBetween(1 - min_run, 0)
+    held = lambda w: F.xxhash64(F.collect_list("hashes").over(w), F.slice(F.collect_list("gap").over(w), F.lit(2), F.count("*").over(w).cast("int")))
+    lines = lines.select("row", "doc_id", "pos", "words", "before", "after", F.sum("words").over(ahead).alias("n_ahead"), held(ahead).alias("ahead"), (F.max("pos").over(ahead) + 1).alias("to"), F.sum("words").over(back).alias("n_back"), held(back).alias("back"), F.min("pos").over(back).alias("from"))
+    forth = F.transform(_chain(F.col("ahead"), F.reverse("before"), 1), lambda k, m: F.struct(k.alias("key"), (F.col("pos") - m).alias("from"), F.col("to")))
+    # A least run back that is one ahead, too, has its row there.
+    both = F.col("n_back") - F.col("words") < min_run
+    behind = F.filter(F.transform(_chain(F.col("back"), F.col("after"), 2), lambda k, m: F.struct(k.alias("key"), F.col("from"), (F.col("pos") + 1 + m).alias("to"))), lambda _, m: (m > 0) | ~both)
+    none = F.array().cast("array<struct<key:bigint,from:int,to:int>>")
+    every = F.concat(F.when(F.col("n_ahead") >= min_run, forth).otherwise(none), F.when(F.col("n_back") >= min_run, behind).otherwise(none))
+    return lines.select("row", "doc_id", F.explode(every).alias("run")).select("row", "doc_id", "run.*")
+
+
+def _joined(runs: Column) -> Column:
+    """The union of runs, in order, as runs that don't touch."""
+    kind = "array<struct<from:int,to:int>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("from"), F.lit(-1).alias("to"))
+    closed = lambda a: F.when(a["from"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["from"].alias("from"), a["to"].alias("to")))))
+    step = lambda a, r: F.when((a["from"] >= 0) & (r["from"] <= a["to"]), F.struct(a["done"].alias("done"), a["from"].alias("from"), F.greatest(a["to"], r["to"]).alias("to"))).otherwise(F.struct(closed(a).alias("done"), r["from"].alias("from"), r["to"].alias("to")))
+    return F.aggregate(F.sort_array(runs), start, step, closed)
 
 
 def repeats(rows: DataFrame, stage: Stage, gram: int = GRAM, winnow: int = WINNOW, min_run: int = MIN_RUN) -> DataFrame:
     """(row, runs) for the staged rows (row, doc_id, hashes, words) that repeat lines of an earlier place."""
+    if min_run < gram + winnow - 1:
+        raise ValueError("a run of min_run words needs a fingerprint: at least gram + winnow - 1")
     prints = stage.put("prints", fingerprints(rows, gram, winnow))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos")
-    first = prints.groupBy("print").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"))
-    pairs = prints.join(first, "print").filter((F.col("row") != F.col("first_row")) | (F.col("pos") != F.col("first_pos")))
-    pairs = stage.put("pairs", pairs.select("row", "first_row", (F.col("first_pos") - F.col("pos")).alias("shift")).distinct())
+    twice = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    some = prints.join(twice, "print").select("row").distinct()
+    least = stage.put("least", least_runs(rows.join(some, "row"), min_run))
     stage.drop("prints")
-    whole = rows.select("row", "hashes", "words")
-    against = rows.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes"))
-    met = pairs.join(whole, "row").join(against, "first_row").select("row", _runs(min_run).alias("runs")).filter(F.size("runs") > 0)
-    return met.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "from")
+    first = least.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.row").alias("first_row"), F.col("first.from").alias("first_from"))
+    later = least.join(first, "key").filter((F.col("row") != F.col("first_row")) | (F.col("from") != F.col("first_from")))
+    return later.groupBy("row").agg(_joined(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
 def deleted(runs: Column) -> Column:
