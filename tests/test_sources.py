@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from veldt import queries
 from veldt.functions import links, markup, paths, text
 from veldt.operators import policies, resume, targets, verdicts
 from veldt.plans import catalogue, scan
@@ -137,6 +138,14 @@ def test_stream_skips_what_is_done(spark, tmp_path):
     assert run() == ["x.txt", "z.txt"]
 
 
+def test_zip_expand_reads_all_documents(spark, tmp_path):
+    rows = [(i, "en", "s", f"text {i}") for i in range(0, 12_000, 7)] + [(3, "en", "s", "one"), (3, "en", "s", "again"), (4, "en", "s", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    archive = lambda i: "s.zip" if i < 1000 else f"s-{i // 1000}.zip"
+    got = sorted((r.path, r.size) for r in queries.QUERIES["zip_expand"](spark, str(tmp_path)).collect())
+    assert got == sorted((f"a/{archive(i)}!/en/{i}.txt", len(t or "")) for i, _, _, t in rows)
+
+
 def test_bundled_rules_on_archives(spark):
     data = zipped([("conf/.env", b"x"), ("cards.txt", b"4111 1111 1111 1111")])
     frame = spark.createDataFrame([("a.zip", "a.zip", bytearray(data))], "path string, name string, content binary")

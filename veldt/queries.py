@@ -439,21 +439,34 @@ def llm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 'a/' || source || '.zip!/' || lang || '/' || doc_id || '.txt' as path, strlen(text)::bigint as size from documents where doc_id < 200")
 def zip_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives made of documents, one for each source, and expanded again."""
+    """Archives made of all documents, one for each source and block of ids, and expanded again. Its SQL reads the first block's
+    first 200 ids."""
+    import collections
     import io
     import zipfile
 
     import pandas as pd
 
+    block = 1000  # ids of one archive: few enough for the limits of entries and bytes
+
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for doc_id, lang, body in zip(rows.doc_id, rows.lang, rows.text, strict=True):
-                z.writestr(f"{lang}/{doc_id}.txt", body)
-        name = f"{rows.source.iloc[0]}.zip"
-        return pd.DataFrame({"path": [f"a/{name}"], "name": [name], "content": [out.getvalue()]})
-
-    made = _t(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id", "lang", "source", "text").groupBy("source").applyInPandas(pack, "path string, name string, content binary")
+        # A name is in an archive once: documents that share one go to archives of their own.
+        taken, parts = collections.Counter(), []
+        for doc_id, lang, body in zip(rows.doc_id, rows.lang, rows.text, strict=True):
+            entry = f"{lang}/{doc_id}.txt"
+            if taken[entry] == len(parts):
+                parts.append(zipfile.ZipFile(io.BytesIO(), "w", zipfile.ZIP_DEFLATED))
+            parts[taken[entry]].writestr(entry, body or "")
+            taken[entry] += 1
+        files = [z.fp for z in parts]
+        for z in parts:
+            z.close()
+        k = int(rows.block.iloc[0])
+        name = f"{rows.source.iloc[0]}{f'-{k}' if k else ''}.zip"
+        return pd.DataFrame({"path": [f"a/{name}"] * len(parts), "name": [name] * len(parts), "content": [f.getvalue() for f in files]})
+
+    number = F.coalesce(F.floor(F.col("doc_id") / block), F.lit(0)).alias("block")
+    made = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "source", "text", number).groupBy("source", "block").applyInPandas(pack, "path string, name string, content binary")
     return archives.entries(made, archives.Limits(ratio=1000.0)).filter("content is not null").select("path", "size")
 
 
