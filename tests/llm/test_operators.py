@@ -225,6 +225,17 @@ def test_personal_data(spark, docs, empty):
     assert pii.report(docs).count() == len(corpus()) and pii.report(empty).count() == 0
 
 
+def test_found_values_induce_further_patterns(spark):
+    number = lambda k: f"(555) 019-{k:04d}"
+    texts = [f"my phone: +1 (555) 010-{k:04d} ok" for k in range(6)] + [f"my phone: {number(k)} ok" for k in range(6)]
+    texts += [f"a mobile {number(k)} ok" for k in [*range(5), *range(10, 15)]] + [f"the cell {number(k)} ok" for k in [*range(10, 15), 20]]
+    texts += [f"our fon +49 (30) 1000-{k:04d} ok" for k in range(5)] + [f"our fon {number(k)} ok" for k in range(30, 60)]
+    texts += [f"an order {k}x{k}/7 ok" for k in range(20)] + [f"an order {number(k)} ok" for k in range(5)]
+    got = [r.spans for r in sorted(pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
+    place = lambda t: re.search(r"\+[0-9 ()-]+[0-9]|\([0-9 ()-]+[0-9]", t)
+    assert got == ["" if "order" in t else f"phone:{place(t).start()}:{place(t).end()}" for t in texts]
+
+
 def test_toxicity_separates_held_out_texts(spark, docs, empty):
     rng = random.Random(9)
     bad = ["grumbolt", "snarfling", "vexcroft"]

@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, and contextual patterns bootstrapped from what they find.
 
 Base patterns find e-mail addresses, IP addresses, card and telephone numbers. The words to the left of these seeds become
-lexical patterns; other tokens with digits or an at-sign are candidates. Spark scores the graph of patterns and values by
-rounds: a pattern's confidence in a kind is the share of its distinct values that are of the kind (values not yet known count
-by their score), a candidate's score is the confidence of its best pattern. Patterns with enough distinct seeds and a high
-confidence then mark their candidates of a fitting shape as further spans.
+lexical patterns; other tokens with digits or an at-sign are candidates. Rounds go over the graph of patterns and values: a
+pattern is trusted with a kind if it has enough distinct values known to be of the kind and their score outweighs what speaks
+against it, values known to be of other kinds or of an unfitting shape; values not yet known that fit say nothing. Candidates
+of a fitting shape after trusted patterns become known, with their best pattern's confidence as score, and are seeds from the
+next round on. Rounds end when no value is added. Trusted patterns mark their candidates of a fitting shape as further spans.
 
 All is DataFrame expressions. Java's regular expressions give no offsets, so a text is split at the matches, and offsets are
 running sums of lengths, in windows over one text's matches. Base patterns start only where a run of their characters starts
@@ -35,7 +36,7 @@ CANDIDATE = r"(?<![^\x20\x09-\x0D,;])[^\x20\x09-\x0D,;]*[0-9@](?:[^\x20\x09-\x0D
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: What a discovered value of each kind must look like.
 SHAPES = (r"^[^@]+@[^@]+$|^[A-Za-z0-9._%+-]+$", r"^[0-9A-Fa-f:.]*[:.][0-9A-Fa-f:.]+$", r"^(?:[^0-9]*[0-9]){12,19}[^0-9]*$", r"^[+(0-9][0-9(). -]{5,}[0-9]$")
-MIN_SEEDS, MIN_CONFIDENCE, ROUNDS, CONTEXT = 5, 0.8, 3, 48
+MIN_SEEDS, MIN_CONFIDENCE, CONTEXT = 5, 0.8, 48
 
 
 def _matches(text: Column, kind: int, pattern: str) -> Column:
@@ -73,22 +74,34 @@ def located(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     return rows.select("row", "doc_id"), flat.withColumn("end", end).withColumn("start", F.col("end") - F.length("value")).drop("i", "gap")
 
 
-def bootstrap(base: DataFrame, candidates: DataFrame, stage: Stage, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def bootstrap(base: DataFrame, candidates: DataFrame, stage: Stage, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(pattern, kind, confidence) of the contexts that are trusted, from base (kind, value, left) and candidates (value, left)."""
-    context = lambda rows, kind: rows.select(kind.alias("seed"), "value", F.explode(F.array(*_left_words(F.col("left")))).alias("pattern")).filter("pattern is not null").distinct()
-    edges = stage.put("edges", context(base, F.col("kind")).unionByName(context(candidates, F.lit(None).cast("int"))))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    seeds = edges.filter("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds"))
-    # Contexts with few seeds of a kind are never trusted: they leave the graph at once.
-    facts = stage.put("patterns", seeds.filter(F.col("seeds") >= min_seeds).join(size, "pattern"))
-    unknown = stage.put("unknown", edges.filter("seed is null").join(facts.select("pattern", "kind", "seeds", "size"), "pattern").select("pattern", "kind", "value", "seeds", "size"))
-    scored = facts.withColumn("confidence", F.col("seeds") / F.col("size"))
-    for k in range(rounds - 1):
-        best = unknown.join(scored.select("pattern", "kind", "confidence"), ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-        more = unknown.join(best, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-        scored = stage.put(f"round{k}", facts.join(more, ["pattern", "kind"], "left").withColumn("confidence", (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("size")).drop("more"))
-    # Candidates' own scores lift a pattern only so far: the seeds alone must carry half of it.
-    return scored.filter((F.col("confidence") >= min_confidence) & (2 * F.col("seeds") >= F.col("size"))).select("pattern", "kind", "confidence")
+    context = lambda rows, kind: rows.select(kind.alias("seed"), "value", F.explode(F.array(*_left_words(F.col("left")))).alias("pattern")).filter("pattern is not null")
+    both = context(base, F.col("kind")).unionByName(context(candidates, F.lit(None).cast("int")))
+    fits = [F.col("value").rlike(s).alias(f"fit{k}") for k, s in enumerate(SHAPES)]
+    edges = stage.put("edges", both.groupBy("pattern", "value").agg(F.min("seed").alias("seed")).select("pattern", "value", "seed", *fits))
+    known = stage.put("known0", edges.filter("seed is not null").groupBy("value").agg(F.min("seed").alias("kind"), F.lit(1.0).alias("score")))
+    r = 0
+    while True:
+        seen = edges.drop("seed").join(known, "value", "left")
+        of = lambda k: F.col("kind") == k
+        sums = []
+        for k in range(len(KINDS)):
+            against = F.when(F.col("kind").isNull(), ~F.col(f"fit{k}")).otherwise(~of(k))
+            sums += [F.count(F.when(of(k), 1)).alias(f"n{k}"), F.sum(F.when(of(k), F.col("score")).otherwise(0.0)).alias(f"sum{k}"), F.count(F.when(against, 1)).alias(f"against{k}")]
+        judged = seen.groupBy("pattern").agg(*sums)
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n{k}").alias("n"), (F.col(f"sum{k}") / F.nullif(F.col(f"n{k}") + F.col(f"against{k}"), F.lit(0))).alias("confidence")) for k in range(len(KINDS))]))
+        trusted = stage.put(f"trusted{r}", judged.select("pattern", each.alias("t")).select("pattern", "t.*").filter((F.col("n") >= min_seeds) & (F.col("confidence") >= min_confidence)).select("pattern", "kind", "confidence"))
+        fitting = F.lit(False)
+        for k in range(len(KINDS)):
+            fitting = fitting | (of(k) & F.col(f"fit{k}"))
+        found = seen.filter("kind is null").drop("kind", "score").join(trusted, "pattern").filter(fitting)
+        more = stage.put(f"more{r}", found.groupBy("value").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"), F.max("confidence").alias("score")))
+        if more.isEmpty():
+            return trusted
+        r += 1
+        known = stage.put(f"known{r}", known.unionByName(more))
+        stage.drop(f"known{r - 1}", f"more{r - 1}", f"trusted{r - 1}")
 
 
 def spans(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
