@@ -292,6 +292,18 @@ def test_contamination(spark, docs, empty, block_bytes, monkeypatch):
     assert decontaminate.matches(docs, bench.limit(0), ["doc_id"]).filter("size(items) > 0").count() == 0 and decontaminate.matches(empty, bench, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 60])
+def test_contamination_by_items_without_id(spark, block_bytes):
+    passage = " ".join(f"w{k}" for k in range(12))
+    frame = spark.createDataFrame([(0, f"a b {passage} c"), (1, "a b c"), (2, f"named one two {passage}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, passage), (None, None), (7, "named one two"), (None, " ".join(f"z{k}" for k in range(40)))], "item_id long, text string")
+    assert block_bytes > 60 or len(list(decontaminate._blocks(bench, block_bytes))) > 1
+    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.matches(frame, bench, ["doc_id"], block_bytes=block_bytes).select("doc_id", hits, "items").collect()}
+    assert got == {0: (12, []), 1: (0, []), 2: (15, ["7"])}
+    assert [r.doc_id for r in decontaminate.remove(frame, bench).collect()] == [1]
+
+
 def test_longest_match():
     tests = decontaminate.Suffixes.of([("i", b"a b c d e f g h i j k l m")], 10)
     words = np.array([tests.number.get(w, 0) for w in b"x a b c d e f g h i j k l z".split()] + [0])

@@ -7,7 +7,8 @@ has can't be found and are left out of the array. Documents are whole within a s
 without a shuffle. The benchmark is read in blocks of a proven size, each of which meets all shards.
 
 Defined cases: null and empty texts and items have no words and match nothing; an item of fewer words than a window is one
-window; repeated rows are judged alike; an empty benchmark leaves every document clean; further columns pass through.
+window; items without an id count in spans, n_hit and contaminated and are removed, but aren't in the list of items and their
+number, and several of them don't differ; repeated rows are judged alike; an empty benchmark leaves every document clean; further columns pass through.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def words_of(text: bytes) -> list[bytes]:
 class Suffixes:
     """The suffixes of a block of benchmark items, as numbers of words; 0 is a word that no item has."""
 
-    names: list[str]
+    names: list[str | None]
     number: dict[bytes, int]
     texts: list[np.ndarray]
     size: int
@@ -51,7 +52,7 @@ class Suffixes:
         self.single = np.unique(np.array([t[0] for t in self.texts if len(t) == 1 or self.size == 1], np.int64))
 
     @staticmethod
-    def of(items: list[tuple[str, bytes]], size: int) -> Suffixes:
+    def of(items: list[tuple[str | None, bytes]], size: int) -> Suffixes:
         split = [(name, words_of(text)) for name, text in items]
         number: dict[bytes, int] = {}
         for _, words in split:
@@ -153,8 +154,9 @@ def _report(window: int, tests: Suffixes):
             np.add.at(cover, at + size, -1)
             docs = np.searchsorted(ends, at, "right") - 1
             np.maximum.at(best, docs, longest(words, tests.texts[k], place, at, window))
-            for d in np.unique(docs).tolist():
-                items[d].add(tests.names[k])
+            if tests.names[k] is not None:
+                for d in np.unique(docs).tolist():
+                    items[d].add(tests.names[k])
         edges = np.diff(np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]]))
         starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         spans = [[] for _ in shard.sizes]
@@ -169,10 +171,10 @@ def _report(window: int, tests: Suffixes):
     return decide
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark's items by blocks whose size is counted before any is sent to the driver."""
-    items = bench.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+    items = bench.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-total // (block_bytes // 2)))
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
