@@ -1,16 +1,20 @@
-"""Rules on text: a prefilter of expressions says which rules may match, and one Arrow-batched step finds the places.
+"""Rules on text: one Arrow-batched step finds which rules may match, and where they do.
 
-The prefilter runs in the JVM: extensions are set membership, keywords are substring tests, children wait for their parent's
-metadata match. Only items with a rule left reach Python, each with the rules to try; columns that matching doesn't need don't
-travel. Nothing is shuffled.
+The JVM only decides whether an item's text is read at all, by its extension and by the metadata matches that open child
+rules; columns that matching doesn't need don't travel. In Python all keywords of all rules are one automaton, which passes
+over a window once, and only rules with a keyword there (or without keywords) run their pattern. Texts are read in windows
+that overlap, so that no pattern meets an unbounded text. Nothing is shuffled, but for tables of a few files, whose rows are
+dealt over the cores.
+
+`to_try` is the same prefilter as an expression, for reports of which rules an item passes.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
@@ -18,11 +22,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.functions.validators import Candidate, validate
-from veldt.plans.catalogue import Rule
+from veldt.plans.catalogue import Rule, compiled
 
-CANDIDATE = "path string, ord int, idx int, len int, value string, snippet string, snippet_start int, confidence double, reason string"
+CANDIDATE = "item string, path string, ord int, idx int, len int, value string, snippet string, snippet_start int, confidence double, reason string"
 WINDOW_CHARS, OVERLAP, CONTEXT, SNIPPET = 65_536, 4_096, 512, 50
-_ARROW = pa.schema([("path", pa.string()), ("ord", pa.int32()), ("idx", pa.int32()), ("len", pa.int32()), ("value", pa.string()), ("snippet", pa.string()), ("snippet_start", pa.int32()), ("confidence", pa.float64()), ("reason", pa.string())])
+_ARROW = pa.schema([("item", pa.string()), ("path", pa.string()), ("ord", pa.int32()), ("idx", pa.int32()), ("len", pa.int32()), ("value", pa.string()), ("snippet", pa.string()), ("snippet_start", pa.int32()), ("confidence", pa.float64()), ("reason", pa.string())])
+#: A table below this many bytes a core has its rows dealt over the cores, about SPREAD_BYTES each.
+FEW_BYTES, SPREAD_BYTES = 128 << 20, 1 << 20
+
+
+@dataclass(frozen=True)
+class Reading:
+    """How texts are read: in windows of `window` characters, each from `overlap` before the end of the last (0: whole), and
+    of texts beyond `sample_over` characters, if given, only the first and the last `part`."""
+
+    window: int = WINDOW_CHARS
+    overlap: int = OVERLAP
+    sample_over: int | None = None
+    part: int = 1 << 20
+
+    def spans(self, n: int) -> Iterator[tuple[int, int, int, bool]]:
+        """Of a text of n characters: start, end, the place up to which matches are known, whether another window follows."""
+        parts = [(0, n)] if self.sample_over is None or n <= self.sample_over else [(0, min(n, self.part)), (max(n - self.part, min(n, self.part)), n)]
+        for low, high in parts:
+            start, known = low, low
+            while start < high or start == low:
+                end = min(high, start + self.window) if self.window else high
+                yield start, end, known, end < high
+                if end == high:
+                    break
+                known, start = end, end - self.overlap
 
 
 def one_of(ext: Column, scope: frozenset[str]) -> Column:
@@ -66,46 +95,107 @@ def entropy_of(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def find(rule: Rule, regex: re.Pattern[str], text: str, path: str, skip: int = 0) -> Iterator[tuple]:
-    """The matches of a rule in a text that end beyond `skip`: place, length, trimmed value, confidence, reason."""
-    for m in regex.finditer(text):
-        if m.end() <= skip and skip:
-            continue
-        group = next((g for g in range(1, (regex.groups or 0) + 1) if m[g] is not None), 0)
-        start, raw = m.start(group), m[group]
-        value = raw.strip()
-        if not value or (rule.entropy > 0 and entropy_of(value) < rule.entropy):
-            continue
-        left = max(0, start - CONTEXT)
-        good, confidence, reason = validate(rule.validator, Candidate(value, path, text[left : start + len(raw) + CONTEXT], start - left))
-        if good:
-            yield start, len(raw), value, confidence, reason
-
-
-def _matcher(rules: list[Rule]):
+class Matcher:
+    """The content rules of a catalogue, ready to run."""
+
+    def __init__(self, rules: list[Rule], reading: Reading):
+        self.rules, self.reading = rules, reading
+        self.regexes = {k: compiled("|".join(m.regex() for m in r.content())) for k, r in enumerate(rules) if r.content()}
+        self.scopes = {k: rules[k].scope() for k in self.regexes}
+        self.groups = {k: int(g) if g.isdigit() else g for k in self.regexes if (g := rules[k].value_group)}
+        self.by_ext: dict[str, tuple[list[int], list[int]]] = {}
+        #: By keyword in lower case, the rules that it opens, each with the keyword as it is where case counts.
+        self.opens: dict[str, list[tuple[int, str | None]]] = {}
+        for k in self.regexes:
+            for word, cased in rules[k].keywords():
+                self.opens.setdefault(word.lower(), []).append((k, word if cased else None))
+        self.bare = {k for k in self.regexes if not rules[k].keywords()}
+        self.hits = self._hits()
+
+    def _hits(self):
+        """A function from a text in lower case to the keywords that it has."""
+        words = [w for w in self.opens if w]
+        try:
+            import ahocorasick
+        except ImportError:
+            return lambda lowered: {w for w in words if w in lowered}
+        if not words:
+            return lambda lowered: set()
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        return lambda lowered: {w for _, w in automaton.iter(lowered)}
+
+    def scoped(self, ext: str, opened: list[str]) -> set[int]:
+        """The rules that may run on an item of this extension for which the named rules matched by metadata."""
+        if ext not in self.by_ext:
+            inside = [k for k, s in self.scopes.items() if not s or ext in s]
+            self.by_ext[ext] = [k for k in inside if not self.rules[k].parent], [k for k in inside if self.rules[k].parent]
+        free, children = self.by_ext[ext]
+        return {*free, *(k for k in children if self.rules[k].parent in opened)}
+
+    def tries(self, text: str, scoped: set[int]) -> list[int]:
+        out = self.bare & scoped
+        for w in self.hits(text.lower()):
+            out |= {k for k, exact in self.opens[w] if k in scoped and k not in out and (exact is None or exact in text)}
+        return sorted(out)
+
+    def find(self, text: str, path: str, ext: str, opened: list[str]) -> Iterator[tuple]:
+        """The matches in a text: rule, place, length, trimmed value, confidence, reason."""
+        scoped = self.scoped(ext, opened)
+        if not scoped:
+            return
+        for start, end, known, more in self.reading.spans(len(text)):
+            for k in self.tries(text[start:end] if start or end < len(text) else text, scoped):
+                for found in self._matches(k, text, path, start, end, known, more):
+                    yield k, *found
+
+    def _matches(self, k: int, text: str, path: str, start: int, end: int, known: int, more: bool) -> Iterator[tuple]:
+        rule, group = self.rules[k], self.groups.get(k, 0)
+        for m in self.regexes[k].finditer(text, start, end):
+            # A match that ends where the window before does was found there; one that the next window has whole counts there.
+            if (m.end() <= known and start < known) or (more and m.end() == end and m.start() >= end - self.reading.overlap):
+                continue
+            g = group if m[group] is not None else 0
+            at, raw = m.start(g), m[g]
+            value = raw.strip()
+            if not value or (rule.entropy > 0 and entropy_of(value) < rule.entropy):
+                continue
+            left = max(0, at - CONTEXT)
+            good, confidence, reason = validate(rule.validator, Candidate(value, path, text[left : at + len(raw) + CONTEXT], at - left))
+            if good:
+                yield at, len(raw), value, confidence, reason
+
+
+def _matcher(rules: list[Rule], reading: Reading):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regexes = {k: re.compile("|".join(m.regex() for m in r.content())) for k, r in enumerate(rules) if r.content()}
+        matcher = Matcher(rules, reading)
         for batch in batches:
             out: list[dict] = []
-            for path, text, tries in zip(*(batch.column(c).to_pylist() for c in ("path", "text", "tries")), strict=True):
-                for k in tries:
-                    for start, n, value, confidence, reason in find(rules[k], regexes[k], text, path or ""):
-                        left = max(0, start - SNIPPET)
-                        out.append({"path": path, "ord": k, "idx": start, "len": n, "value": value, "snippet": text[left : start + n + SNIPPET], "snippet_start": start - left, "confidence": confidence, "reason": reason})
+            for item, path, ext, text, opened in zip(*(batch.column(c).to_pylist() for c in ("item", "path", "ext", "text", "opened")), strict=True):
+                for k, at, n, value, confidence, reason in matcher.find(text or "", path or "", ext or "", opened or []):
+                    left = max(0, at - SNIPPET)
+                    out.append({"item": item, "path": path, "ord": k, "idx": at, "len": n, "value": value, "snippet": text[left : at + n + SNIPPET], "snippet_start": at - left, "confidence": confidence, "reason": reason})
             yield pa.RecordBatch.from_pylist(out, _ARROW)
 
     return run
 
 
-def candidates(items: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The places of content rules in items (path, ext, text, metadata)."""
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows over more tasks where the table is too small to give every core one; a shuffle of bounded size, else none."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(2 * cores, size // SPREAD_BYTES)
+    return rows.repartition(wanted, key) if wanted > 1 and size < cores * FEW_BYTES else rows
+
+
+def candidates(items: DataFrame, rules: list[Rule], reading: Reading = Reading()) -> DataFrame:
+    """The places of content rules in items (item, path, ext, text, and opened: names of the rules that metadata matched)."""
     if not any(r.content() for r in rules):
         return items.sparkSession.createDataFrame([], CANDIDATE)
-    gated = items.filter(F.col("text").isNotNull() & (F.length("text") > 0)).filter(item_gate(rules, F.col("ext"), F.col("metadata")))
-    # A column of its own, as it is read many times: Catalyst keeps it apart and works it out once a row.
-    folded = gated.withColumn("lowered", F.lower("text"))
-    tried = folded.select("path", "text", to_try(rules, F.col("ext"), F.col("text"), F.col("metadata"), F.col("lowered")).alias("tries")).filter(F.size("tries") > 0)
-    return tried.mapInArrow(_matcher(rules), CANDIDATE)
+    gated = items.filter(item_gate(rules, F.col("ext"), F.col("opened"))).select("item", "path", "ext", "text", "opened")
+    return spread(gated, "item").mapInArrow(_matcher(rules, reading), CANDIDATE)
 
 
 def classifiers(items: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -87,10 +87,18 @@ def metadata_matches(rules: list[Rule], path: Column, name: Column) -> Column:
     return F.when(F.size(every) > 1, F.array_sort(F.transform(F.array(every), first)[0])).otherwise(every)
 
 
+def opened(rules: list[Rule], path: Column, name: Column) -> Column:
+    """Of an item, the names of the matched rules that have children on content."""
+    parents = {r.parent for r in rules if r.parent and r.content()}
+    some = [r for r in rules if r.name in parents]
+    return F.transform(metadata_matches(some, path, name), lambda m: m["rule"]) if some else F.array().cast("array<string>")
+
+
 def is_direct(res: Column, path: Column) -> Column:
     return F.lower(_norm(res)) == F.lower(_norm(path))
 
 
 def explode_matches(items: DataFrame) -> DataFrame:
-    """(path, ord, rule, resource, direct) from items with a column `metadata`."""
-    return items.select("path", F.explode("metadata").alias("m")).select("path", "m.*", is_direct(F.col("m.resource"), F.col("path")).alias("direct"))
+    """(path, ord, rule, resource, direct), and item if there is one, from items with a column `metadata`."""
+    keys = [c for c in ("item", "path") if c in items.columns]
+    return items.select(*keys, F.explode("metadata").alias("m")).select(*keys, "m.*", is_direct(F.col("m.resource"), F.col("path")).alias("direct"))

@@ -55,9 +55,25 @@ class Match:
         return frozenset(own) | PROFILES.get(self.profile.strip().lower(), frozenset())
 
     def regex(self) -> str:
-        """One alternation of the block's patterns with its case."""
+        """One alternation of the block's patterns with its case; flags that a pattern starts with hold for that pattern."""
         flag = "(?-i:{})" if self.case_sensitive else "(?i:{})"
-        return "|".join(flag.format(re.escape(p) if self.literal else p) for p in self.patterns)
+        scoped = lambda p: re.sub(r"^\(\?([a-z]+)\)(.*)$", r"(?\1:\2)", p, flags=re.S)
+        return "|".join(flag.format(re.escape(p) if self.literal else scoped(p)) for p in self.patterns)
+
+
+def compiled(pattern: str):
+    """A pattern for Python's `re`, or for `regex` where it has what only that knows (look-behind of any width)."""
+    try:
+        return re.compile(pattern)
+    except re.error:
+        try:
+            import regex
+
+            return regex.compile(pattern)
+        except ImportError:
+            raise re.error(f"needs the package regex: {pattern}") from None
+        except regex.error as e:
+            raise re.error(str(e)) from e
 
 
 @dataclass(frozen=True)
@@ -78,6 +94,8 @@ class Rule:
     exclude_paths: tuple[str, ...] = ()
     children: tuple[Rule, ...] = ()
     parent: str = ""
+    #: The group that holds the value, by name or number; the whole match where it is empty or took no part.
+    value_group: str = ""
 
     def content(self) -> tuple[Match, ...]:
         return tuple(m for m in self.matches if m.target == "Content")
@@ -236,7 +254,7 @@ def problems(rule: Rule, validators: Iterable[str], top: bool = True) -> list[st
         if top and m.target == "Content" and not m.scope():
             out.append("its content block names no extensions")
         try:
-            re.compile(m.regex())
+            compiled(m.regex())
         except re.error as e:
             out.append(f"a pattern doesn't compile: {e}")
     for child in rule.children:

@@ -55,7 +55,7 @@ def _card_rule() -> Rule:
 
 
 def _hex_rule(**more) -> Rule:
-    return Rule("Token Assignment", (Match("Content", (HEX,), keywords=("token",), extensions=(".txt",)),), "High", **more)
+    return Rule("Token Assignment", (Match("Content", (HEX,), keywords=("token",), extensions=(".txt",)),), "High", value_group="1", **more)
 
 
 @query(f"""

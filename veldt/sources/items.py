@@ -28,7 +28,7 @@ def documents(docs: DataFrame) -> DataFrame:
 def pages(rows: DataFrame, as_text: bool = True) -> DataFrame:
     text = markup.html_text(F.col("html")) if as_text else F.col("html")
     name = F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".txt"))
-    return items(rows, F.regexp_replace("url", r"[?#].*$", ""), text, item_id=F.col("page_id").cast("string"), web_url=F.col("url"), content_name=name)
+    return items(rows, F.regexp_replace("url", r"#.*$", ""), text, item_id=F.col("page_id").cast("string"), web_url=F.col("url"), content_name=name)
 
 
 def conversations(rows: DataFrame, workspace: str = "workspace") -> DataFrame:
