@@ -256,6 +256,44 @@ def test_toxicity_separates_held_out_texts(spark, docs, empty):
     assert toxicity.classify(empty, model).count() == 0 and toxicity.learn([(b"x", 0)]).score(b"") == 0.0
 
 
+def test_toxicity_scores_are_those_of_plain_compression(spark, docs):
+    import zstandard
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 40) + (" zorgling vexcroftly" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    sample = toxicity.labelled(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    model = toxicity.learn(sample)
+    assert sample.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows)
+    assert b"zorgling" in model.toxic and b"zorgling" not in model.ordinary
+
+    def length(side, window):
+        how = zstandard.ZstdCompressionParameters.from_level(12, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        held = zstandard.ZstdCompressionDict(side + bytes(range(1, 25)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(window + bytes(range(1, 25))))
+
+    def score(text):
+        words = re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        pairs = [(length(model.ordinary, w), length(model.toxic, w)) for w in ([b" " + x[k : k + 64] + b" " for x in words for k in range(0, len(x), 64)] or [b" "])]
+        base, saved = length(model.toxic, b" "), [o - t for o, t in pairs]
+        counts = [sum(s >= k for s in saved) for k in range(1, 9)] + [sum(s >= k and t <= base + 3 for s, (_, t) in zip(saved, pairs, strict=True)) for k in range(1, 9)]
+        x = np.array([math.log1p(c) for c in counts] + [c / len(pairs) for c in counts] + [math.log1p(len(pairs))])
+        return 1 / (1 + math.exp(-(model.weights[0] + ((x - model.mean) / model.spread) @ model.weights[1:])))
+
+    some = [(i, t) for i, t, _ in corpus() if i is not None and (t is None or len(t) < 600)][:25] + [(1000 + i, t) for i, t, _ in rows[:8]]
+    got = {r.doc_id: r.score for r in toxicity.classify(spark.createDataFrame(some, "doc_id long, text string"), model).collect()}
+    assert all(abs(got[i] - score(t)) < 1e-9 for i, t in some)
+
+
+def test_toxicity_on_held_out_documents_of_a_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(toxicity.labelled(docs, labels), toxicity.toxic_share(labels))
+    test = toxicity.classify(docs, model).join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).select("toxic", "score", "predicted").collect()
+    up, down = ([r.score for r in test if r.toxic == k] for k in (1, 0))
+    area = sum((a > b) + (a == b) / 2 for a in up for b in down) / (len(up) * len(down))
+    assert area > 0.8 and sum(r.predicted for r in test if r.toxic == 0) <= 0.05 * len(down)
+
+
 def brute_contamination(texts, items):
     word, low = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: word.findall((t or "").translate(low))

@@ -1,13 +1,20 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one from ordinary text and one that also holds toxic text,
-compress each window of a few words; where the second saves bytes, the window reads like toxic text.
+"""Toxicity by compression distance: one zstandard dictionary trained on windows of toxic text and one on windows of ordinary
+text; each window of a document is compressed with either, and where the toxic one needs fewer bytes it reads like toxic text.
 
-Labels are by document, but few words of a toxic document are toxic. So the toxic dictionary is trained on those windows
-whose word stands out in toxic documents (a two-proportion z of document frequencies, near copies counted once); the ordinary
-one on windows of ordinary documents. How many windows save at least 1, 2, ... bytes, as counts and as shares, is calibrated
-to a probability by a logistic fit on labelled documents that trained neither dictionary.
+A window is a word (one of more than WINDOW_BYTES bytes is several). Compressors don't look for matches in a block's last
+bytes and don't keep gains below a fixed cost, so both dictionaries end with the same anchor, which no text has, and each
+window is compressed with the anchor behind it: what differs between the two lengths is the window alone.
 
-Learning uses at most `sample` labelled documents of each class, by hash order of doc_id; every document is scored, on all
-its windows. Only text is an input of a score.
+Labels are by document, but few windows of a toxic document are toxic. So the toxic dictionary is trained on those windows
+of toxic documents that hold a run of GRAM bytes which stands out in them (a two-proportion z of document frequencies, near
+copies counted once), the ordinary one on all windows of ordinary documents. How many windows save at least 1, 2, ... bytes,
+all and those that the toxic dictionary holds whole, as counts and as shares, is calibrated to a probability by a logistic
+fit on labelled documents that trained neither dictionary.
+
+Learning uses at most `sample` labelled documents of each class, by hash order of doc_id; of a document at most LEARNED
+distinct windows, those of the least hashes over the whole text, travel to where dictionaries are trained. Features of the
+calibrating documents are worked out where their texts are. Every document is scored, on all its windows. Only text is an
+input of a score.
 
 Defined cases: a null or empty text has one empty window and gets that window's score; a null doc_id isn't held out; several
 labels of one doc_id count as toxic if one does; with no toxic or no ordinary label every score is the share of toxic labels
@@ -29,77 +36,121 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.llm.common import table, utf8
+from veldt.llm.common import Stage, table, utf8
 
-SAMPLE, WINDOW, DICTIONARY, STAND_OUT, LEVEL, STEPS = 3000, 4, 4096, 4.5, 12, 8
+#: Labelled documents of a class, and distinct windows of one, that are learned from.
+SAMPLE, LEARNED = 3000, 4000
+WINDOW_BYTES, GRAM, STAND_OUT = 64, 6, 5.0
+#: Bytes of the dictionaries; windows whose lengths a worker keeps.
+TOXIC_BYTES, ORDINARY_BYTES, KEPT = 4096, 16384, 400_000
+LEVEL, STEPS, WHOLE = 12, 8, 3
 #: ASCII letters to lower case, other ASCII to spaces; what isn't ASCII stays.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_ANCHOR = bytes(range(1, 25))
+
+
+def windows(text: bytes) -> list[bytes]:
+    """A text's windows in order, each between blanks; one empty window for a text without words."""
+    words = text.translate(_FOLD).split()
+    return [b" " + w[i : i + WINDOW_BYTES] + b" " for w in words for i in range(0, len(w), WINDOW_BYTES)] or [b" "]
+
+
+@dataclass(frozen=True)
+class Labelled:
+    """What a labelled document trains dictionaries with: its distinct windows, and a key that near copies share."""
 
+    toxic: int
+    part: int
+    copy: int
+    windows: frozenset[bytes]
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+    @staticmethod
+    def of(text: bytes, toxic: int, part: int) -> Labelled:
+        w = windows(text)
+        copy = min(zlib.crc32(b"".join(w[i : i + 3])) for i in range(max(1, len(w) - 2)))
+        some = set(w)
+        if len(some) > LEARNED:
+            some = set(sorted(some, key=lambda x: (zlib.crc32(x), x))[:LEARNED])
+        return Labelled(toxic, part, copy, frozenset(some))
+
+
+def _grams(window: bytes) -> set[bytes]:
+    return {window[i : i + GRAM] for i in range(max(1, len(window) - GRAM + 1))}
 
 
-def _distinct(docs: list[list[bytes]]) -> list[list[bytes]]:
-    """One of each set of near copies, told by the least hash of three words in a row."""
-    first: dict[int, list[bytes]] = {}
-    for words in docs:
-        first.setdefault(min((zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0), words)
-    return list(first.values())
+def standing_out(toxic: list[frozenset[bytes]], ordinary: list[frozenset[bytes]], least: float) -> set[bytes]:
+    """Runs of GRAM bytes in more toxic than ordinary documents, by a z of at least `least`."""
+    known: dict[bytes, set[bytes]] = {}
 
+    def counted(docs: list[frozenset[bytes]]) -> Counter:
+        out: Counter = Counter()
+        for doc in docs:
+            out.update(set().union(*(known.setdefault(w, _grams(w)) for w in doc)))
+        return out
 
-def standing_out(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: float = STAND_OUT) -> set[bytes]:
-    """Words of more toxic than ordinary documents, by a z of at least `least`."""
-    with_, without = Counter(w for d in toxic for w in set(d)), Counter(w for d in ordinary for w in set(d))
-    p, n = len(toxic), len(ordinary)
-    spread = lambda w: math.sqrt((with_[w] + without[w] + 1) / (p + n) * (1 / p + 1 / n))
-    return {w for w in with_ if with_[w] / p - without[w] / n >= least * spread(w)}
+    with_, without, p, n = counted(toxic), counted(ordinary), len(toxic), len(ordinary)
+    spread = lambda g: math.sqrt((with_[g] + without[g] + 1) / (p + n) * (1 / p + 1 / n))
+    return {g for g in with_ if with_[g] / p - without[g] / n >= least * spread(g)}
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; the samples themselves where they are too few to train on."""
+    random.Random(7).shuffle(samples)
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[:size]
 
 
+def dictionaries(docs: list[Labelled]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary."""
+    one = lambda k: list({d.copy: d.windows for d in docs if d.toxic == k}.values())
+    toxic, ordinary = one(1), one(0)
+    least, grams = STAND_OUT, set()
+    while not grams and least > 0:  # a handful of documents can't reach the usual z
+        grams, least = standing_out(toxic, ordinary, least), least - 0.5
+    loud = [w for d in toxic for w in sorted(d) if not grams.isdisjoint(_grams(w))]
+    return _dictionary(loud, TOXIC_BYTES), _dictionary([w for d in ordinary for w in sorted(d)], ORDINARY_BYTES)
+
+
 @dataclass
 class Model:
     """The two dictionaries, and the weights over the features of a document."""
 
     toxic: bytes
     ordinary: bytes
-    window: int
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     weights: np.ndarray | None = None
     constant: float | None = None
 
     def open(self) -> Model:
-        self.sides = [self._compressor(self.ordinary), self._compressor(self.toxic + self.ordinary)]
+        self.sides, self.known = [self._compressor(self.ordinary), self._compressor(self.toxic)], {}
+        self.base = self._lengths(b" ")[1]
         return self
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held = zstandard.ZstdCompressionDict(content + _ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         how = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
-    def saved(self, text: bytes) -> list[int]:
-        """By window, the bytes that the toxic dictionary saves."""
-        words, n = words_of(text), self.window
-        plain, toxic = self.sides[0].compress, self.sides[1].compress
-        windows = (b" " + b" ".join(words[i : i + n]) + b" " for i in range(0, max(1, len(words)), n))
-        return [len(plain(w)) - len(toxic(w)) for w in windows]
+    def _lengths(self, window: bytes) -> tuple[int, int]:
+        found = self.known.get(window)
+        if found is None:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            found = self.known[window] = tuple(len(side.compress(window + _ANCHOR)) for side in self.sides)
+        return found
 
     def features(self, text: bytes) -> np.ndarray:
-        saved = np.array(self.saved(text))
-        counts = (saved[:, None] >= np.arange(1, STEPS + 1)).sum(0)
-        return np.concatenate([np.log1p(counts), counts / len(saved), [math.log1p(len(saved))]])
+        found = np.array([self._lengths(w) for w in windows(text)])
+        saved, whole = found[:, 0] - found[:, 1], found[:, 1] <= self.base + WHOLE
+        steps = saved[:, None] >= np.arange(1, STEPS + 1)
+        counts = np.concatenate([steps.sum(0), (steps & whole[:, None]).sum(0)])
+        return np.concatenate([np.log1p(counts), counts / len(found), [math.log1p(len(found))]])
 
-    def calibrate(self, texts: list[bytes], labels: list[int], ridge: float = 1.0) -> None:
-        rows, y = np.array([self.features(t) for t in texts]), np.array(labels, float)
+    def calibrate(self, rows: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> None:
         self.mean, self.spread = rows.mean(0), rows.std(0) + 1e-9
         x = np.column_stack([np.ones(len(rows)), (rows - self.mean) / self.spread])
         w = np.zeros(x.shape[1])
@@ -114,29 +165,9 @@ class Model:
         z = self.weights[0] + ((self.features(text) - self.mean) / self.spread) @ self.weights[1:]
         return float(1 / (1 + math.exp(-min(30, max(-30, z)))))
 
-
-def learn(labelled: list[tuple[bytes, int]], share: float | None = None, window: int = WINDOW, size: int = DICTIONARY) -> Model:
-    """labelled: texts and whether they are toxic, in an order that doesn't depend on the label. share: of toxic documents
-    among all labelled ones, where the sample has another share; scores are probabilities at that share."""
-    classes = [[t for t, y in labelled if y == k] for k in (0, 1)]
-    if not all(classes):
-        return Model(b"", b"", window, constant=len(classes[1]) / max(1, len(labelled)))
-    cut = [max(1, len(c) * 3 // 5) for c in classes]
-    ordinary, toxic = (_distinct([words_of(t) for t in c[:k]]) for c, k in zip(classes, cut, strict=True))
-    least, marked = STAND_OUT, set()
-    while not marked and least > 0:  # a handful of documents can't reach the usual z
-        marked, least = standing_out(toxic, ordinary, least), least - 0.5
-    loud = [b" " + w + b" " for d in toxic for w in d if w in marked]
-    quiet = [b" " + b" ".join(d[i : i + window]) + b" " for d in ordinary for i in range(0, len(d), 10 * window)]
-    for part in (loud, quiet):
-        random.Random(7).shuffle(part)
-    model = Model(_dictionary(loud[:100_000], size), _dictionary(quiet[:60_000], size), window).open()
-    rest = [(t, k) for k in (0, 1) for t in classes[k][cut[k] :] or classes[k]]
-    model.calibrate([t for t, _ in rest], [k for _, k in rest])
-    if share is not None and 0 < share < 1:
-        toxic_here = sum(k for _, k in rest)
-        model.weights[0] += math.log(share / (1 - share)) - math.log(toxic_here / (len(rest) - toxic_here))
-    return model
+    def bare(self) -> Model:
+        """Without what doesn't travel."""
+        return Model(**{k: getattr(self, k) for k in self.__dataclass_fields__})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,27 +183,74 @@ def toxic_share(labels: DataFrame) -> float:
     return float(known_labels(labels).agg(F.avg("toxic")).first()[0] or 0.0)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """Texts and labels of at most `sample` rows of each class that aren't held out, by hash order of doc_id."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "toxicity") -> DataFrame:
+    """The staged texts, labels and parts (0-2 train dictionaries, 3 and 4 calibrate) of at most `sample` documents of each
+    class that aren't held out, by hash order of doc_id; of rows that share a doc_id, the least text."""
     known = known_labels(labels)
-    order = F.xxhash64("doc_id")
-    picks = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
+    picks = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     few = picks[0].unionByName(picks[1])  # at most 2 * sample rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    ranked = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode() + b"order"), r.doc_id))
-    return [((r.text or "").encode(), int(r.toxic)) for r in ranked]
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    part = F.pmod(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("part")).cast("binary")), F.lit(5)).cast("int")
+    return Stage(docs.sparkSession, label).put("sample", rows.select(F.col("toxic").cast("int").alias("toxic"), part.alias("part"), "text"), files=8)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=6).compress
+    for batch in batches:
+        docs = [Labelled.of(*row) for row in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist(), batch.column("part").to_pylist(), strict=True)]
+        columns = [pa.array([d.toxic for d in docs], pa.int32()), pa.array([d.part for d in docs], pa.int32()), pa.array([d.copy for d in docs], pa.int64()), pa.array([squeeze(b"\0".join(sorted(d.windows))) for d in docs], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["toxic", "part", "copy", "windows"])
+
+
+def _measured(model: Model):
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = model.bare().open()
+        for batch in batches:
+            rows = [opened.features(t).astype("<f8").tobytes() for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.binary())], ["toxic", "features"])
+
+    return measured
+
+
+def learn(rows: DataFrame | list[tuple[bytes, int]], share: float | None = None) -> Model:
+    """rows: `labelled`, or texts and whether they are toxic. share: of toxic documents among all labelled ones, where the
+    sample has another share; scores are probabilities at that share."""
+    if isinstance(rows, DataFrame):
+        found = rows.mapInArrow(_gathered, "toxic int, part int, copy long, windows binary").collect()  # bounded by SAMPLE and LEARNED
+        plain = zstandard.ZstdDecompressor().decompress
+        docs = sorted((Labelled(r.toxic, r.part, r["copy"], frozenset(plain(r.windows).split(b"\0"))) for r in found), key=lambda d: (d.toxic, d.part, d.copy, sorted(d.windows)))
+    else:
+        docs = [Labelled.of(t, y, k % 5) for k, (t, y) in enumerate(rows)]
+    n = [sum(d.toxic == k for d in docs) for k in (0, 1)]
+    if not all(n):
+        return Model(b"", b"", constant=n[1] / max(1, len(docs)))
+    training, resting = [d for d in docs if d.part < 3], [d for d in docs if d.part >= 3]
+    both = lambda part: {d.toxic for d in part} == {0, 1}
+    split = both(training) and both(resting)  # too few documents are learned from and calibrate
+    model = Model(*dictionaries(training if split else docs)).open()
+    if isinstance(rows, DataFrame):
+        measured = (rows.filter("part >= 3") if split else rows).mapInArrow(_measured(model.bare()), "toxic int, features binary").collect()
+        x, y = np.array([np.frombuffer(r.features) for r in measured]), np.array([r.toxic for r in measured], float)
+    else:
+        some = [(t, y) for k, (t, y) in enumerate(rows) if not split or k % 5 >= 3]
+        x, y = np.array([model.features(t) for t, _ in some]), np.array([y for _, y in some], float)
+    order = np.lexsort([*x.T, y])  # sums don't depend on the order of tasks
+    model.calibrate(x[order], y[order])
+    if share is not None and 0 < share < 1:
+        model.weights[0] += math.log(share / (1 - share)) - math.log(y.sum() / (len(y) - y.sum()))
+    return model
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for each row of docs."""
+    bare = model.bare()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = Model(**{k: getattr(model, k) for k in Model.__dataclass_fields__}).open()
+        opened = bare.bare().open()
         for batch in batches:
             scores = np.array([opened.score(t) for t in utf8(batch.column("text"))], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    model = Model(**{k: getattr(model, k) for k in Model.__dataclass_fields__})  # compressors don't travel
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double, predicted int")
 
@@ -180,5 +258,5 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    found = classify(docs, learn(labelled(docs, labels), toxic_share(labels)))
+    found = classify(docs, learn(labelled(docs, labels, label="op6"), toxic_share(labels)))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
