@@ -236,6 +236,63 @@ def test_found_values_induce_further_patterns(spark):
     assert got == ["" if "order" in t else f"phone:{place(t).start()}:{place(t).end()}" for t in texts]
 
 
+def brute_bootstrap(seeds, candidates, least, sure):
+    """Trusted (pattern, kind) with their confidence, from (kind, value, patterns) and (value, patterns), round by round."""
+    fit = lambda k, v: re.search(pii.SHAPES[k], v) is not None
+    edges, known = collections.defaultdict(set), {}
+    for kind, value, patterns in seeds:
+        known[value] = min((kind, 1.0), known.get(value, (9, 1.0)))
+        for p in patterns:
+            edges[p].add(value)
+    for value, patterns in candidates:
+        for p in patterns:
+            edges[p].add(value)
+    while True:
+        trusted = {}
+        for p, values in edges.items():
+            for k in range(len(pii.KINDS)):
+                mine = [known[v][1] for v in values if v in known and known[v][0] == k]
+                against = sum(known[v][0] != k if v in known else not fit(k, v) for v in values)
+                if len(mine) >= least and sum(mine) / (len(mine) + against) >= sure:
+                    trusted[p, k] = sum(mine) / (len(mine) + against)
+        more = {}
+        for (p, k), c in trusted.items():
+            for v in edges[p]:
+                if v not in known and fit(k, v):
+                    more[v] = max(more.get(v, (0, 9)), (c, -k))
+        if not more:
+            return trusted
+        known |= {v: (-k, c) for v, (c, k) in more.items()}
+
+
+def test_bootstrap_scores_are_those_of_brute_force(spark):
+    from veldt.llm.common import Stage
+
+    rng = random.Random(12)
+    words = [f"w{c}" for c in "abcdefgh"]
+    made = [lambda k: f"u{k}@x.org", lambda k: f"10.0.0.{k}", lambda k: f"4111 1111 1111 {k:04d}", lambda k: f"+1 555 010-{k:04d}", lambda k: f"Key{k:014d}z"]
+    rows = []
+    for k in range(400):
+        kind = rng.randrange(5)
+        left = " ".join([rng.choice(words), rng.choice(words), words[kind] if rng.random() < 0.8 else rng.choice(words)])
+        rows.append((kind if rng.random() < 0.4 else 5, made[kind](rng.randrange(60)), left, rng.choice(words)))
+    frame = spark.createDataFrame(rows, "kind int, value string, left string, right string")
+    contexts = frame.select("kind", "value", pii._contexts(F.col("left"), F.col("right")).alias("p")).collect()
+    got = pii.bootstrap(frame.filter("kind < 5"), frame.filter("kind = 5").drop("kind"), Stage(spark, "t"), 5, 0.6).collect()
+    want = brute_bootstrap([(r.kind, r.value, r.p) for r in contexts if r.kind < 5], [(r.value, r.p) for r in contexts if r.kind == 5], 5, 0.6)
+    assert len(want) > 3 and {(r.pattern, r.kind): round(r.confidence, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_hidden_keys_of_a_table_are_found_by_their_contexts(spark):
+    from veldt.llm.common import Stage
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = F.col("value").rlike("^[0-9a-f]{40}$") & (F.crc32(F.col("value").cast("binary")) % 5 == 0)
+    keys = {m for r in docs.collect() for m in re.findall(r"(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])", r.text or "") if zlib.crc32(m.encode()) % 5 == 0}
+    found = pii.spans(docs, Stage(spark, "t"), hidden=hidden)[1].filter("kind = 4 and not base").select("value").collect()
+    assert keys and keys <= {r.value for r in found}
+
+
 def test_toxicity_separates_held_out_texts(spark, docs, empty):
     rng = random.Random(9)
     bad = ["grumbolt", "snarfling", "vexcroft"]
