@@ -27,6 +27,8 @@ from veldt.llm.common import table, utf8
 WINDOW = 10
 #: Words of a shard's suffix array, and bytes of benchmark text that are broadcast at a time.
 SHARD_WORDS, BLOCK_BYTES = 2_000_000, 16 << 20
+#: Windows of the benchmark that are searched at a time.
+SEARCHED = 65_536
 #: A-Z to lower case; ASCII other than letters and digits to spaces; what isn't ASCII stays.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -51,6 +53,22 @@ class Suffixes:
         self.pairs = np.unique(np.concatenate([t[:-1] * (len(self.number) + 1) + t[1:] for t in long])) if long else np.zeros(0, np.int64)
         self.single = np.unique(np.array([t[0] for t in self.texts if len(t) == 1 or self.size == 1], np.int64))
 
+    def searched(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """All windows, some at a time: items, places, and the least and the greatest key of a suffix that starts with them."""
+        counts = np.array([len(t) - min(self.size, len(t)) + 1 for t in self.texts], np.int64)
+        laid = np.concatenate([x for t in self.texts for x in (t, np.zeros(self.size, np.int64))]) if self.texts else np.zeros(0, np.int64)
+        begins = np.cumsum([0, *[len(t) + self.size for t in self.texts]])[:-1]
+        upto = np.cumsum(counts)
+        for start in range(0, int(upto[-1]) if len(upto) else 0, SEARCHED):
+            flat = np.arange(start, min(start + SEARCHED, int(upto[-1])))
+            k = np.searchsorted(upto, flat, "right")
+            place = flat - (upto[k] - counts[k])
+            wide = np.arange(self.size)
+            low = laid[(begins[k] + place)[:, None] + wide].astype(">u4")
+            short = wide >= np.minimum(self.size, np.array([len(t) for t in self.texts]))[k][:, None]
+            high = np.where(short, 2**32 - 1, low).astype(">u4")
+            yield k, place, low.view(f"S{4 * self.size}").ravel(), high.view(f"S{4 * self.size}").ravel()
+
     @staticmethod
     def of(items: list[tuple[str | None, bytes]], size: int) -> Suffixes:
         split = [(name, words_of(text)) for name, text in items]
@@ -88,15 +106,9 @@ def search(words: np.ndarray, tests: Suffixes) -> list[tuple[int, int, np.ndarra
     order = np.argsort(keys, kind="stable")
     array, keys = at[order], keys[order]
     found = []
-    for k, text in enumerate(tests.texts):
-        size = min(tests.size, len(text))
-        places = np.arange(len(text) - size + 1)
-        wanted = np.zeros((len(places), tests.size), ">u4")
-        wanted[:, :size] = text[places[:, None] + np.arange(size)]
-        low = np.searchsorted(keys, wanted.view(f"S{4 * tests.size}").ravel(), "left")
-        wanted[:, size:] = 2**32 - 1
-        high = np.searchsorted(keys, wanted.view(f"S{4 * tests.size}").ravel(), "right")
-        found += [(k, int(p), array[a:b]) for p, a, b in zip(places, low, high, strict=True) if b > a]
+    for items, places, least, most in tests.searched():
+        low, high = np.searchsorted(keys, least, "left"), np.searchsorted(keys, most, "right")
+        found += [(int(items[i]), int(places[i]), array[low[i] : high[i]]) for i in np.flatnonzero(high > low)]
     return found
 
 
@@ -131,8 +143,9 @@ class _Shard:
         return words, np.cumsum([0, *[n + 1 for n in self.sizes]])
 
 
-def _report(window: int, tests: Suffixes):
-    """A function over Arrow batches: each row's n_words, the spans that windows cover, the items, and the longest match."""
+def _report(window: int, tests: Suffixes, only_hit: bool = False):
+    """A function over Arrow batches: each row's n_words, the spans that windows cover, and, unless only they are asked for, the
+    items and the longest match."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,6 +165,8 @@ def _report(window: int, tests: Suffixes):
             size = min(window, len(tests.texts[k]))
             np.add.at(cover, at, 1)
             np.add.at(cover, at + size, -1)
+            if only_hit:
+                continue
             docs = np.searchsorted(ends, at, "right") - 1
             np.maximum.at(best, docs, longest(words, tests.texts[k], place, at, window))
             if tests.names[k] is not None:
@@ -213,7 +228,7 @@ def remove(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame
         tests = Suffixes.of(items, window)
 
         def clean(batches: Iterator[pa.RecordBatch], tests: Suffixes = tests) -> Iterator[pa.RecordBatch]:
-            report = _report(window, tests)
+            report = _report(window, tests, True)
             for batch in batches:
                 narrow = pa.RecordBatch.from_arrays([batch.column("text")], ["text"])
                 hit = [bool(s) for part in report(iter([narrow])) for s in part.column("spans").to_pylist()]
@@ -226,20 +241,25 @@ def remove(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
-
-
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"), "longest", places.alias("places"))
 
 
+#: Windows that follow each other at one distance between document and item are one match; hit words that touch are one place.
 OP7_SQL = r"""
-with docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
-items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
-windows as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g from (select *, least(10, len(w)) as k from items) t, unnest(range(1, len(w) - k + 2)) r(i) where k > 0),
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select row_number() over () as b, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (select b, item_id, k, j, array_to_string(w[j:j + k - 1], ' ') as g from (select *, least(10, len(w)) as k from items) t, unnest(range(1, len(w) - k + 2)) u(j) where k > 0),
 sizes as (select distinct k from windows),
-places as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g from docs, sizes, unnest(range(1, len(w) - k + 2)) r(i)),
-found as (select doc_id, i, p.k, item_id from places p join windows using (k, g)),
-hit as (select doc_id, count(distinct j) as n_hit from found, unnest(range(i, i + k)) r(j) group by doc_id),
-named as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from found group by doc_id)
-select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from docs left join hit using (doc_id) left join named using (doc_id)
+places as (select r, k, i, array_to_string(w[i:i + k - 1], ' ') as g from docs, sizes, unnest(range(1, len(w) - k + 2)) u(i)),
+found as (select r, i, p.k, b, item_id, j from places p join windows using (k, g)),
+lengths as (select r, k - 1 + count(*) as n from (select *, i - row_number() over (partition by r, b, i - j order by i) as island from found) t group by r, b, i - j, island, k),
+long as (select r, max(n) as longest from lengths group by r),
+hit as (select distinct r, h from found, unnest(range(i, i + k)) u(h)),
+spans as (select r, min(h) - 1 as s, max(h) as e, count(*) as n from (select *, h - row_number() over (partition by r order by h) as island from hit) t group by r, island),
+placed as (select r, sum(n) as n_hit, string_agg(s || ':' || e, ',' order by s) as places from spans group by r),
+named as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from found group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+  coalesce(longest, 0)::bigint as longest, coalesce(places, '') as places
+from docs left join placed using (r) left join long using (r) left join named using (r)
 """
