@@ -134,18 +134,27 @@ def _alike(values: np.ndarray, sets: list[bytes], a: np.ndarray, b: np.ndarray,
     return a[alike], b[alike]
 
 
+def _met(lists: list[list[int]], bucket: int, at: list[np.ndarray]) -> Iterator[tuple[list[int], list[int]]]:
+    """For each earlier bucket that both sides have, who is in it on either side."""
+    sides: list[dict[int, list[int]]] = [{}, {}]
+    for held, places in zip(sides, at, strict=True):
+        for k, place in enumerate(places.tolist()):
+            for b in lists[place]:
+                if b < bucket:
+                    held.setdefault(b, []).append(k)
+    for b in sides[0].keys() & sides[1].keys():
+        yield sides[0][b], sides[1][b]
+
+
 def _linked(rows: pa.Table, need: list[int], threshold: float) -> tuple[np.ndarray, ...] | None:
     """Of one pair of blocks: classes, the copies that each links to, and the least class of its tree."""
     first, second = rows["i"][0].as_py(), rows["j"][0].as_py()
     side = rows["side"].to_numpy()
     bucket, ids = rows["bucket"][0].as_py(), rows["class"].to_numpy()
     at = [np.flatnonzero(side == first), np.flatnonzero(side == second)]
-    lists = rows["buckets"].to_pylist()
-    earlier = {b: k for k, b in enumerate(sorted({b for x in lists for b in x if b < bucket}))}
-    mine = np.zeros((len(ids), max(1, len(earlier))), np.float32)
-    for k, x in enumerate(lists):
-        mine[k, [earlier[b] for b in x if b < bucket]] = 1
-    fresh = mine[at[0]] @ mine[at[1]].T == 0
+    fresh = np.ones((len(at[0]), len(at[1])), bool)
+    for a, b in _met(rows["buckets"].to_pylist(), bucket, at):
+        fresh[np.ix_(a, b)] = False
     if first == second:
         fresh = np.triu(fresh, 1)
     values = np.frombuffer(b"".join(rows["values"].to_pylist()), np.uint32).reshape(len(ids), VALUES)
