@@ -4,10 +4,11 @@ P(w | h) = l_b * c(h, w) / c(h) + (1 - l_b) * P(w), where b is the bucket (power
 is the smoothed unigram estimate (c(w) + 0.5) / (N + 0.5 (V + 1)). The weights l_b are learned by expectation-maximisation on
 a fold of the learning documents, against counts from which that fold is deleted. All counts cover all learning documents.
 
-Counts never meet on one machine. Documents are dealt to blocks by a hash of their key. A block asks for the counts of its
-distinct n-grams once each, packed by shard of the n-gram hash; a shard sums what its blocks sent and answers each in the
-order asked; blocks and answers meet again to score. What a block or a shard holds is bounded, their numbers grow with the
-input, and a frequent n-gram is one entry a block, so no key is hot.
+Counts never meet on one machine. Documents are dealt to blocks by a hash of their key, those of EM's fold to blocks of their
+own, which alone are read to learn the weights. A block asks for the counts of its distinct n-grams once each, packed by shard
+of the n-gram hash; a shard sums what its blocks sent and answers each in the order asked; blocks and answers meet again to
+score. What a block or a shard holds is bounded, their numbers grow with the input, each is a partition of its own, and a
+frequent n-gram is one entry a block, so no key is hot.
 
 N-grams are 64-bit hashes for words, and for pairs as many bits as keep the chance that a pair collides under one in a
 million at the corpus's size. For EM, likelihood ratios are rounded to a thousandth of a natural logarithm; their counts by
@@ -190,8 +191,8 @@ def _ratios(layout: Layout, totals: Totals):
 
 
 def learn_weights(counts: list[tuple[int, int, int]], rounds: int = 200) -> np.ndarray:
-    """By bucket, the weight that EM finds for the pair estimate, from (bucket, rounded ratio + CLIP + 1, n); 0 where no
-    held-out context fell in the bucket."""
+    """By bucket, the weight that EM finds for the pair estimate, from (bucket, rounded ratio + CLIP + 1, n). A bucket in which
+    no held-out context fell has the weight of the nearest below that has one, 0 if there is none."""
     weights = np.zeros(BUCKETS)
     table_ = np.array(counts, np.int64).reshape(-1, 3)
     for b in np.unique(table_[:, 0]):
@@ -201,6 +202,8 @@ def learn_weights(counts: list[tuple[int, int, int]], rounds: int = 200) -> np.n
         for _ in range(rounds):
             w = float((n * (w * r / (w * r + 1 - w))).sum() / n.sum())
         weights[b] = min(w, 1 - 1e-6)
+    for b in set(range(1, BUCKETS)) - set(table_[:, 0].tolist()):
+        weights[b] = next((weights[c] for c in range(b - 1, -1, -1) if c in table_[:, 0]), 0.0)
     return weights
 
 
@@ -229,28 +232,36 @@ def score(docs: DataFrame, label: str = "lm") -> DataFrame:
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, label)
     kind = docs.schema["doc_id"].dataType.simpleString()
     facts = docs.groupBy(fold_of(F.col("doc_id")).alias("fold")).agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).collect()
-    total = sum(r.bytes or 0 for r in facts)
-    blocks, shards = max(1, -(-total // BLOCK_BYTES)), max(shuffle_parts(spark), -(-total // SHARD_BYTES))
+    total, tuning = sum(r.bytes or 0 for r in facts), sum(r.bytes or 0 for r in facts if r.fold == 0)
+    held, blocks = max(1, -(-tuning // BLOCK_BYTES)), max(1, -(-(total - tuning) // BLOCK_BYTES))
+    shards = max(shuffle_parts(spark), -(-total // SHARD_BYTES))
     layout = Layout(shards, min(64, max(1, total).bit_length() + 20))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    texts = docs.select("doc_id", "text", fold_of(F.col("doc_id")).alias("fold"), place)
-    parts = max(shuffle_parts(spark), blocks)
-    asked = texts.select("block", "fold", "text").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_ask(layout), "shard string, block long, keys binary, learn binary, held binary")
-    answers = stage.put("answers", asked.repartition(max(shuffle_parts(spark), shards), "shard").sortWithinPartitions("shard").mapInArrow(_answer, ANSWER))
+    fold, key = fold_of(F.col("doc_id")), F.xxhash64("doc_id", "text")
+    place = F.when(fold == 0, F.pmod(key, F.lit(held))).otherwise(held + F.pmod(key, F.lit(blocks)))
+    texts = docs.select("doc_id", "text", fold.alias("fold"), place.alias("block"))
+
+    def dealt(rows: DataFrame, number: Column, parts: int) -> DataFrame:
+        """rows with a partition for each number from 0 on."""
+        return rows.repartitionById(parts, number.cast("int"))
+
+    asked = dealt(texts.select("block", "fold", "text"), F.col("block"), held + blocks).sortWithinPartitions("block").mapInArrow(_ask(layout), "shard string, block long, keys binary, learn binary, held binary")
+    number = F.split_part("shard", F.lit(":"), F.lit(2)).cast("int") * 2 + F.split_part("shard", F.lit(":"), F.lit(1)).cast("int") - 1
+    answers = stage.put("answers", dealt(asked, number, 2 * shards).sortWithinPartitions("shard").mapInArrow(_answer, ANSWER))
     sums = answers.filter("order = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "tokens_rest", "distinct_rest")]).first()
     learning = {r.fold: r.docs for r in facts if r.fold != 1}
     every = Totals(sums.tokens, sums.distinct, sum(learning.values()))
     rest = Totals(sums.tokens_rest, sums.distinct_rest, sum(n for f, n in learning.items() if f))
 
-    def met(rows: DataFrame, asked_by: DataFrame) -> DataFrame:
+    def met(rows: DataFrame, asked_by: DataFrame, parts: int) -> DataFrame:
         both = rows.select("block", "doc_id", "fold", "text", *[F.lit(None).cast(t).alias(c) for c, t in (("order", "int"), ("shard", "int"), ("learn", "binary"), ("held", "binary"))])
         both = both.unionByName(asked_by.select("block", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("int").alias("fold"), F.lit(None).cast("string").alias("text"), "order", "shard", "learn", "held"))
-        return both.repartition(parts, "block").sortWithinPartitions("block")
+        return dealt(both, F.col("block"), parts).sortWithinPartitions("block")
 
-    ratios = met(texts, answers).mapInArrow(_ratios(layout, rest), "bucket int, ratio int, n long")
+    tuned = F.col("block") < held
+    ratios = met(texts.filter(fold == 0), answers.filter(tuned), held).mapInArrow(_ratios(layout, rest), "bucket int, ratio int, n long")
     counts = ratios.groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([tuple(r) for r in counts])
-    return met(texts, answers).mapInArrow(_score(layout, every, weights), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met(texts, answers, held + blocks).mapInArrow(_score(layout, every, weights), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
