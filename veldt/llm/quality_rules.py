@@ -166,7 +166,8 @@ def posterior(model: Accuracies) -> Column:
 
 def measured(docs: DataFrame, keys: list[Column]) -> DataFrame:
     """keys, the measures of each text, and the rules' votes."""
-    flat = docs.select(*keys, *measures(F.col("text"))).select("*", "_w.*", "_l.*").drop("_w", "_l")
+    flat = docs.select(*keys, F.struct(*measures(F.col("text"))).alias("_m"))
+    flat = flat.select(*[F.col(c) for c in flat.columns[:-1]], "_m.*").select("*", "_w.*", "_l.*").drop("_w", "_l")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return flat.select("*", failed.alias("base_failed"), *[r.vote() for r in default_rules()])
 
@@ -186,17 +187,14 @@ def judge(docs: DataFrame, keys: list[str], threshold: float = 0.5, label: str =
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
-def filter_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of good quality, all columns as they were. The model needs the vote counts of all rows, so texts are
-    measured twice rather than joined to their verdicts by a shuffle of whole texts."""
+def filter_good(docs: DataFrame, threshold: float = 0.5, label: str = "quality-keep") -> DataFrame:
+    """The rows of good quality, all columns as they were. The model needs the vote counts of all rows before any row can be
+    judged, so rows are staged with their votes: texts are measured once, and no shuffle joins them to their verdicts."""
     names = [r.name for r in default_rules()]
-    model = fit(vote_patterns(measured(docs, []), names), names)
-    made = F.struct(*measures(F.col("text")))
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
-    flat = inner.select("_row", made.alias("_m")).select("_row", "_m.*").select("_row", "n_symbols", "n_capitals", "_w.*", "_l.*")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    voted = flat.select("_row", failed.alias("_failed"), *[r.vote() for r in default_rules()])
-    return voted.filter(~F.col("_failed") & (posterior(model) >= threshold)).select("_row.*")
+    voted = measured(docs, [F.struct(*docs.columns).alias("_row"), F.col("text")]).select("_row", "base_failed", *[f"v_{n}" for n in names])
+    rows = Stage(docs.sparkSession, label).put("voted", voted)
+    model = fit(vote_patterns(rows, names), names)
+    return rows.filter(~F.col("base_failed") & (posterior(model) >= threshold)).select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
