@@ -148,12 +148,52 @@ def test_lm_scores(docs, empty):
     assert lm_score.score(empty).count() == 0
 
 
+def test_lm_scores_are_those_of_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 3_000)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fold = lambda i: 2 if i is None else zlib.crc32(str(i).encode()) % 5
+    rows = [(i, fold(i), [*WORD.findall((t or "").translate(low)), ""]) for i, t, _ in corpus()]
+
+    def counts(folds):
+        one, two, n = collections.Counter(), collections.Counter(), 0
+        for _, f, t in rows:
+            if f in folds:
+                one.update(t), two.update(zip([None, *t[:-1]], t, strict=True))
+                n += 1
+        one[None] = n
+        return one, two
+
+    def parts(c, t):
+        one, two = c
+        n, v = sum(x for w, x in one.items() if w is not None), len([w for w in one if w is not None])
+        for a, b in zip([None, *t[:-1]], t, strict=True):
+            yield one[a], two[a, b] / max(1, one[a]), (one[b] + 0.5) / (n + 0.5 * (v + 1))
+
+    rest, seen = counts({2, 3, 4}), collections.defaultdict(list)
+    for _, f, t in rows:
+        if f == 0:
+            for c, likely, base in parts(rest, t):
+                if c:
+                    seen[c.bit_length()].append(round(math.log(likely / base) * 1000) / 1000 if likely else -math.inf)
+    weights = {}
+    for b in range(40):
+        w = 0.5 if b in seen else weights.get(b - 1, 0.0)
+        for _ in range(200 if b in seen else 0):
+            r = np.exp(seen[b])
+            w = float((w * r / (w * r + 1 - w)).mean())
+        weights[b] = min(w, 1 - 1e-6)
+    every = counts({0, 2, 3, 4})
+    want = sorted((str(i), round(sum(math.log10(weights[c.bit_length()] * (c > 0) * likely + (1 - weights[c.bit_length()] * (c > 0)) * base) for c, likely, base in parts(every, t)), 5)) for i, _, t in rows)
+    assert sorted((str(r.doc_id), round(r.score, 5)) for r in lm_score.score(docs).collect()) == want
+
+
 def test_lm_weights_and_packing():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
     assert (lm_score.unpack(lm_score.pack(keys)) == keys).all()
     up, none = int(math.log(10) * lm_score.ROUND) + lm_score.CLIP + 1, 0
     w = lm_score.learn_weights([(3, up, 90), (3, none, 10), (5, none, 50)])
     assert 0.8 < w[3] < 0.95 and w[5] < 0.01 and w[0] == 0  # by hand: 0.9 - 0.1 / 9
+    assert w[2] == 0 and w[4] == w[3] and w[39] == w[5]
 
 
 def test_line_runs(docs, empty, spark):
@@ -407,6 +447,27 @@ def test_longest_match():
     assert decontaminate.longest(words, tests.texts[0], 0, np.array([1]), 10).tolist() == [12]
 
 
+def test_longest_matches_are_those_of_brute_force(spark):
+    rng = random.Random(21)
+    words = [f"v{k}" for k in range(6)]
+    texts = [[rng.choice(words) for _ in range(rng.choice([0, 5, 30, 60]))] for _ in range(30)]
+    items = [(k, " ".join(t[3 : 3 + n])) for k, (t, n) in enumerate(zip(texts, [2, 9, 10, 14, 25, 40] * 5, strict=True))] + [(99, "v0 v1 v2")]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.matches(frame, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()}
+    for k, d in enumerate(texts):
+        best, cover = 0, set()
+        for _, item in items:
+            w = item.split()
+            for i in range(len(d)):
+                for j in range(len(w)):
+                    n = 0
+                    while i + n < len(d) and j + n < len(w) and d[i + n] == w[j + n]:
+                        n += 1
+                    if n and n >= min(10, len(w)):
+                        best, cover = max(best, n), cover | set(range(i, i + n))
+        assert got[k].longest == best and {x for s in got[k].spans for x in range(s.start, s.end)} == cover
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a.example/x?y=1#z", "<p>same</p>"), (3, "http://b.example", "<p>same</p>"), (9, "bad\r\nurl", "line\r\n\r\nWARC/1.1\r\n é"), (1, None, None), (2, "http://c.example/", ""), (7, "http://d.example/", "<p>same</p>"), (7, "http://d.example/", "<p>same</p>"), (None, "http://n.example/", "<p>same</p>"), (None, "http://n.example/", "alone")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(2)
@@ -434,6 +495,42 @@ def test_concurrent_to_in_either_direction(spark):
     assert got == {"r1": ("q1", "r1", None), "r2": ("q2", "r2", None), "gone": (None, None, "m3")}
 
 
+def test_transactions_have_all_their_records(spark):
+    rows = [("r1", "response", []), ("q1", "request", ["r1"]), ("q2", "request", ["x", "r1"]), ("m1", "metadata", ["q2"]), ("m2", "metadata", ["m1"]), ("r2", "revisit", ["q3", "m3"]), ("q3", "request", []), ("m3", "metadata", None), ("m4", "metadata", ["q5"]), ("q5", "request", [])]
+    got = {r.capture_id: ([x.record_id for x in r.requests], r.response and r.response.record_id, [x.record_id for x in r.metadata_records]) for r in warc.assemble(spark.createDataFrame(rows, "record_id string, kind string, concurrent_to array<string>")).collect()}
+    assert got == {"r1": (["q1", "q2"], "r1", ["m1", "m2"]), "r2": (["q3"], "r2", ["m3"]), "q5": (["q5"], None, ["m4"])}
+
+
+def test_archives_of_others(spark, tmp_path):
+    def record(kind, name, block, *more):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *more, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    whole = record("warcinfo", "i", b"x: y") + record("response", "r", http) + record("metadata", "m", b"a: b", "WARC-Concurrent-To: <q>", "WARC-Concurrent-To: <r>") + record("response", "w", http, "WARC-Payload-Digest: sha1:WRONG")
+    import gzip
+
+    (tmp_path / "crawl.warc").write_bytes(whole)
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(record("response", "c", http)) + gzip.compress(b"WARC/1.0\r\nno end"))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = {r.record_id: r for r in warc.read(spark, f"file://{tmp_path}", True).collect()}
+    assert set(got) == {"<i>", "<r>", "<m>", "<w>", "<c>", None} and bytes(got["<r>"].payload) == b"body" and got["<r>"].payload_bytes == 4
+    assert got["<m>"].concurrent_to == ["<q>", "<r>"] and "digest" in got["<w>"].problem and "no record" in got[None].problem
+    assert {r.capture_id: len(r.metadata_records) for r in warc.assemble(warc.read(spark, f"file://{tmp_path}")).collect()} == {"<i>": 0, "<r>": 1, "<w>": 0, "<c>": 0}
+
+
+def test_archives_refer_and_are_bounded(spark, tmp_path):
+    rows = [(f"p{k}", f"http://x/{k}", "same" if k % 3 == 0 else f"page {k} " * 200) for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w", file_bytes=20_000)
+    records = warc.read(spark, f"file://{tmp_path}/w").collect()
+    first = next(r.record_id for r in records if r.kind == "response" and r.payload_bytes == 4)
+    assert len(list((tmp_path / "w").glob("*.gz"))) == 10 and {r.refers_to_record for r in records if r.kind == "revisit"} == {first}
+    got = warc.assemble(warc.read(spark, f"file://{tmp_path}/w")).collect()
+    assert sorted(r.metadata.page_id for r in got) == sorted(r[0] for r in rows) and {r.metadata.refers_to for r in got if r.response.kind == "revisit"} == {"p0"}
+    warc.write(pages.limit(0), f"file://{tmp_path}/e")
+    assert warc.assemble(warc.read(spark, f"file://{tmp_path}/e")).count() == 0
+
+
 def test_token_files(spark, docs, empty, monkeypatch):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
