@@ -34,7 +34,7 @@ def web_link(path: Column, site: Column) -> Column:
     """The https address of a connector path under `site`; other paths stay."""
     base = F.regexp_replace(site, "/+$", "")
     of = lambda p, k=1: F.url_decode(F.regexp_extract(path, p, k))
-    issue, page = r"^atlassian://[^/]+/jira/(?:projects/[^/]+/)?issues/([^/]+)", r"^atlassian://[^/]+/confluence/(?:spaces/([^/]+)/)?(?:pages|blogposts)/([^/]+)"
+    issue, page = r"^atlassian://[^/]+/jira/(?:projects/[^/]+/)?issues/([^/.]+)", r"^atlassian://[^/]+/confluence/(?:spaces/([^/]+)/)?(?:pages|blogposts)/([^/.]+)"
     message = r"^slack://([^/]+)/([^/]+)/message-([0-9]+)\.([0-9]+)"
     chat = F.concat(base, F.lit("/archives/"), of(message, 2), F.lit("/p"), of(message, 3), of(message, 4))
     return (

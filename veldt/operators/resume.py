@@ -21,9 +21,14 @@ def scope_hash(**facts: object) -> str:
 
 
 def unseen(items: DataFrame, journal: DataFrame, scope: str) -> DataFrame:
-    """Items whose fingerprint isn't in the scope's journal; items without version of a drive that has no times always are."""
-    done = journal.filter(F.col("scope") == scope).select("fingerprint").distinct()
-    return items.withColumn("fingerprint", fingerprint()).join(done, "fingerprint", "left_anti")
+    """Items whose fingerprint isn't in the scope's journal; remote items (with a web address) that have neither version nor
+    time always are."""
+    done = journal.filter(F.col("scope") == scope).select("fingerprint", F.lit(True).alias("_done")).distinct()
+    always = F.lit(False)
+    if {"version", "modified", "web_url"} <= set(items.columns):
+        always = F.col("version").isNull() & F.col("modified").isNull() & F.col("web_url").isNotNull()
+    marked = items.withColumn("fingerprint", fingerprint()).join(done, "fingerprint", "left")
+    return marked.filter(F.col("_done").isNull() | always).drop("_done")
 
 
 def completed(items: DataFrame, status: DataFrame, scope: str) -> DataFrame:

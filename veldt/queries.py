@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,29 +9,12 @@ from veldt.functions import checksums, links, markup, paths, text
 from veldt.operators import access, content, ignore, metadata, policies, resume, targets, verdicts
 from veldt.plans import catalogue, scan
 from veldt.plans.catalogue import Catalogue, IgnoreRule, Match, Policy, Rule
+from veldt.registry import ORACLES, QUERIES, query, table  # noqa: F401  ORACLES and QUERIES are read from here
 from veldt.sinks import report
 from veldt.sources import archives, items, replay
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items.documents(_t(spark, sf_dir, "documents"))
+    return items.documents(table(spark, sf_dir, "documents"))
 
 
 #: The path of a document, and pieces that several queries share, in SQL.
@@ -74,7 +55,7 @@ with c as (select doc_id, unnest(regexp_extract_all(text, '[0-9]{{13,19}}')) as
 select doc_id, d as value, {LUHN} as valid from c
 """)
 def luhn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{13,19}"), F.lit(0))).alias("value"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{13,19}"), F.lit(0))).alias("value"))
     return found.select("doc_id", "value", checksums.luhn(F.col("value")).alias("valid"))
 
 
@@ -83,7 +64,7 @@ with c as (select doc_id, unnest(regexp_extract_all(text, '{HEX}', 1)) as v from
 select doc_id, v as value, round(list_aggregate(string_split(v, ''), 'entropy'), 6) as entropy from c
 """)
 def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(HEX), F.lit(1))).alias("value"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(HEX), F.lit(1))).alias("value"))
     return found.select("doc_id", "value", F.round(text.entropy(F.col("value")), 6).alias("entropy"))
 
 
@@ -92,19 +73,24 @@ with c as (select doc_id, unnest(regexp_extract_all(text, '{HEX}', 1)) as v from
 select doc_id, to_base64(unhex(sha256(v))) as value_hash, substr(v, 1, 2) || repeat('*', length(v) - 2) as masked from c
 """)
 def value_hash_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(HEX), F.lit(1))).alias("value"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(HEX), F.lit(1))).alias("value"))
     return found.select("doc_id", text.value_hash(F.col("value")).alias("value_hash"), text.mask(F.col("value")).alias("masked"))
 
 
 @query(f"""
-with c as (select doc_id, text, regexp_extract(text, '{PHONE}') as v from documents where regexp_matches(text, '{PHONE}')),
-p as (select *, instr(text, v) - 1 as idx from c)
-select doc_id, idx, substr(text, greatest(0, idx - 50) + 1, least(length(text), idx + length(v) + 50) - greatest(0, idx - 50)) as snippet from p
+with recursive c as (select doc_id, text, 0 as taken, text as rest from documents where regexp_matches(text, '{PHONE}')
+  union all select doc_id, text, taken + instr(rest, regexp_extract(rest, '{PHONE}')) + 16, substr(rest, instr(rest, regexp_extract(rest, '{PHONE}')) + 17) from c where regexp_matches(rest, '{PHONE}')),
+p as (select doc_id, text, taken - 17 as idx, substr(text, taken - 16, 17) as v from c where taken > 0)
+select doc_id, idx::bigint as idx, substr(text, greatest(0, idx - 50) + 1, least(length(text), idx + length(v) + 50) - greatest(0, idx - 50)) as snippet from p
 """)
 def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").filter(F.col("text").rlike(PHONE)).select("doc_id", "text", F.regexp_extract("text", PHONE, 0).alias("v"))
-    rows = rows.withColumn("idx", F.instr("text", F.col("v")) - 1)
-    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), text.around(F.col("text"), F.col("idx"), F.length("v"), 50).alias("snippet"))
+    """The surroundings of every telephone number."""
+    cut = F.split("text", PHONE, -1)
+    found = F.regexp_extract_all("text", F.lit(PHONE), F.lit(0))
+    ends = F.transform(F.sequence(F.lit(1), F.size(found)), lambda k: F.aggregate(F.slice(cut, F.lit(1), k), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), k - 1), F.lit(0), lambda n, x: n + F.length(x)))
+    rows = table(spark, sf_dir, "documents").filter(F.col("text").rlike(PHONE)).select("doc_id", "text", F.explode(F.arrays_zip(ends.alias("idx"), found.alias("v"))).alias("m"))
+    idx = F.col("m.idx")
+    return rows.select("doc_id", idx.cast("long").alias("idx"), text.around(F.col("text"), idx, F.length("m.v"), 50).alias("snippet"))
 
 
 @query(f"""
@@ -132,7 +118,7 @@ select source, count(*) filter (where contains(lower(text), 'license')) as licen
 def keyword_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [Rule("a", (Match("Content", ("x",), keywords=("License",), extensions=(".txt",)),)), Rule("b", (Match("Content", ("x",), case_sensitive=True, keywords=("token",), extensions=(".txt",)),))]
     tries = content.to_try(rules, F.lit(".txt"), F.col("text"), F.array().cast("array<struct<rule:string>>"))
-    rows = _t(spark, sf_dir, "documents").select("source", tries.alias("tries"))
+    rows = table(spark, sf_dir, "documents").select("source", tries.alias("tries"))
     has = lambda k: F.coalesce(F.sum(F.array_contains("tries", k).cast("long")), F.lit(0))
     return rows.groupBy("source").agg(has(0).alias("licensed"), has(1).alias("with_token"))
 
@@ -141,7 +127,7 @@ def keyword_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 select ext, count(*) as n from (select '.txt' as ext from documents union all select '.json' from events union all select '.txt' from pages) group by ext
 """)
 def ext_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select("name", "ext").unionByName(items.events(_t(spark, sf_dir, "events")).select("name", "ext")).unionByName(items.pages(_t(spark, sf_dir, "pages")).select("name", "ext"))
+    rows = _docs(spark, sf_dir).select("name", "ext").unionByName(items.events(table(spark, sf_dir, "events")).select("name", "ext")).unionByName(items.pages(table(spark, sf_dir, "pages")).select("name", "ext"))
     rule = Rule("a", (Match("Content", ("x",), profile="SourceAndConfig"),))
     return rows.filter(content.in_scope(rule, F.col("ext"))).groupBy("ext").agg(F.count("*").alias("n"))
 
@@ -162,7 +148,7 @@ def meta_filename_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 'events/' || event_type || '/' || event_id || '.json' as path, 'Json' as rule from events
 """)
 def meta_ext_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metadata(items.events(_t(spark, sf_dir, "events")), Rule("Json", (Match("FileExtension", (".JSON",), True),))).select("path", "rule")
+    return _metadata(items.events(table(spark, sf_dir, "events")), Rule("Json", (Match("FileExtension", (".JSON",), True),))).select("path", "rule")
 
 
 @query("""
@@ -224,8 +210,8 @@ def policy_scope_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
 select distinct source as classifier from documents where source not in (select 'src' || n_nationkey from nation where n_nationkey % 2 = 0)
 """)
 def missing_rules_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = _t(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("src"), F.col("n_nationkey")).alias("rule"))
-    return policies.missing(_t(spark, sf_dir, "documents").select(F.col("source").alias("classifier")), rules)
+    rules = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("src"), F.col("n_nationkey")).alias("rule"))
+    return policies.missing(table(spark, sf_dir, "documents").select(F.col("source").alias("classifier")), rules)
 
 
 @query(f"""
@@ -250,7 +236,7 @@ def stop_on_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, count(*) as n_windows, sum(least(1000, length(text) - s))::bigint as chars from (select doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 100 - 1), 900)) as s from documents) group by doc_id
 """)
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.explode(content.windows(F.col("text"), 1000, 100)).alias("w"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(content.windows(F.col("text"), 1000, 100)).alias("w"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.sum(F.length("w.part")).alias("chars"))
 
 
@@ -259,7 +245,7 @@ select doc_id, case when length(text) > 5000 then 2 else 1 end as parts, md5(cas
 """)
 def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = content.head_tail(F.col("text"), 5000, 1000)
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("parts"), F.md5(F.array_join(parts, "|").cast("binary")).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("parts"), F.md5(F.array_join(parts, "|").cast("binary")).alias("digest"))
 
 
 @query(f"""
@@ -289,7 +275,7 @@ def matched_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _acl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("path"), "doc_id")
+    rows = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("path"), "doc_id")
     who = F.element_at(F.array(*map(F.lit, ("Everyone", "CORP\\Domain Users", "Authenticated Users", "CORP\\alice", "CORP\\bob"))), (F.col("doc_id") % 5 + 1).cast("int"))
     what = F.element_at(F.array(*map(F.lit, ("Read", "Read, Write", "FullControl"))), (F.col("doc_id") % 3 + 1).cast("int"))
     one = rows.select("path", who.alias("identity"), what.alias("permissions"), F.lit("Allow").alias("type"))
@@ -319,7 +305,7 @@ select doc_id, case lang when 'en' then 'Red' when 'de' then 'Yellow' when 'fr'
 def triage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when(F.col("lang") == "en", "Critical").when(F.col("lang") == "de", "Medium").when(F.col("lang") == "fr", "Low").otherwise("High")
     colour = links.triage(severity, ~F.coalesce(F.col("lang").isin("en", "de", "fr"), F.lit(False)))
-    return _t(spark, sf_dir, "documents").select("doc_id", colour.alias("colour"), links.severity_rank(severity).alias("severity_rank"), links.severity_of_triage(colour).alias("back"))
+    return table(spark, sf_dir, "documents").select("doc_id", colour.alias("colour"), links.severity_rank(severity).alias("severity_rank"), links.severity_of_triage(colour).alias("back"))
 
 
 @query("""
@@ -327,7 +313,7 @@ select 'https://acme.slack.com/archives/C' || conv_id || '/p17000000' || lpad(tu
 """)
 def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.format_string("slack://acme/C%d/message-17000000%02d.000100.txt", "conv_id", "turn")
-    return _t(spark, sf_dir, "conversations").select(links.web_link(path, F.lit("https://acme.slack.com/")).alias("link"))
+    return table(spark, sf_dir, "conversations").select(links.web_link(path, F.lit("https://acme.slack.com/")).alias("link"))
 
 
 @query("""
@@ -335,7 +321,7 @@ select s_name as name, s_suppkey::varchar as id, 'Drive' as kind, 'https://x.exa
 """)
 def discovery_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.format_string("Discovered drive: %s (%d) [Drive] - https://x.example/%d", "s_name", "s_suppkey", "s_suppkey")
-    return _t(spark, sf_dir, "supplier").select(*links.discovery(line))
+    return table(spark, sf_dir, "supplier").select(*links.discovery(line))
 
 
 @query("""
@@ -344,7 +330,7 @@ select target from a union all select 'host' || n_regionkey || '.example.org' fr
 """)
 def cidr_merge_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target lists: overlapping addresses merge, hosts count once."""
-    n = _t(spark, sf_dir, "nation")
+    n = table(spark, sf_dir, "nation")
     low = (F.col("n_nationkey") % 4) * 2 + 1
     address = F.concat(F.lit("10.0."), F.col("n_regionkey"), F.lit("."))
     line = F.concat(F.array_join(F.transform(F.sequence(low, low + 5), lambda i: F.concat(address, i)), ", "), F.lit(" host"), F.col("n_regionkey"), F.lit(".example.org  # nation "), F.col("n_name"))
@@ -356,27 +342,27 @@ def cidr_merge_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 select '10.' || n_nationkey || '.0.' || i as target from nation, range(1, 7) t(i)
 """)
 def cidr_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("line_no"), F.concat(F.lit("10."), F.col("n_nationkey"), F.lit(".0.5/29 // lab")).alias("line"))
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("line_no"), F.concat(F.lit("10."), F.col("n_nationkey"), F.lit(".0.5/29 // lab")).alias("line"))
     return targets.expand(targets.parse(rows))
 
 
 @query("select event_id, 'k' || chr(10) || (props::json->>'$.k') as text from events")
 def json_flatten_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").select("event_id", markup.json_flatten(F.col("props")).alias("text"))
+    return table(spark, sf_dir, "events").select("event_id", markup.json_flatten(F.col("props")).alias("text"))
 
 
 @query(r"""
 select page_id, md5(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')) as digest from pages
 """)
 def html_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").select("page_id", F.md5(markup.html_text(F.col("html")).cast("binary")).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(markup.html_text(F.col("html")).cast("binary")).alias("digest"))
 
 
 @query(r"""
 select 'slack://workspace/conv-' || conv_id || '/message-' || turn || '.txt' as path, md5('Channel: conv-' || conv_id || chr(10) || 'User: ' || role || chr(10) || 'Message: ' || turn || chr(10) || chr(10) || text) as digest from conversations
 """)
 def chat_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items.conversations(_t(spark, sf_dir, "conversations")).select("path", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return items.conversations(table(spark, sf_dir, "conversations")).select("path", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(f"select {PATH} as path from documents where doc_id % 2 = 1")
@@ -388,19 +374,19 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id from events where ts > timestamp '2024-01-10 00:00:00'")
 def delta_boundary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resume.newer(_t(spark, sf_dir, "events"), F.col("ts"), F.lit("2024-01-10 00:00:00").cast("timestamp")).select("event_id")
+    return resume.newer(table(spark, sf_dir, "events"), F.col("ts"), F.lit("2024-01-10 00:00:00").cast("timestamp")).select("event_id")
 
 
 @query("""
 select message, (select count(*) from (select distinct source || ' in ' || lang as message from documents)) as total from (select distinct source || ' in ' || lang as message from documents) order by message limit 8
 """)
 def warning_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.warnings(_t(spark, sf_dir, "documents").select(F.concat("source", F.lit(" in "), "lang").alias("message")).distinct())
+    return report.warnings(table(spark, sf_dir, "documents").select(F.concat("source", F.lit(" in "), "lang").alias("message")).distinct())
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.col("source").alias("RuleName"), F.col("doc_id").cast("string").alias("ResourcePath"), F.lit("High").alias("Severity"), F.col("n_chars").alias("InstanceCount"), (F.col("doc_id") % 3 == 0).alias("LlmIsSensitive"))
-    return _t(spark, sf_dir, "documents").select(F.to_json(F.struct(F.lit("1.0").alias("SchemaVersion"), F.array(item).alias("FindingsList"))).alias("document"))
+    return table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.lit("1.0").alias("SchemaVersion"), F.array(item).alias("FindingsList"))).alias("document"))
 
 
 @query("select source as rule, doc_id::varchar as path, n_chars as matches from documents")
@@ -418,29 +404,28 @@ select 'Rule ' || lang as rule_name, 'High' as severity, '/data/' || doc_id as r
 """)
 def replay_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array(F.concat(F.lit("Finding: Rule "), "lang"), F.lit("  Risk: High"), F.concat(F.lit("  Path: /data/"), F.col("doc_id")), F.concat(F.lit("  Evidence: \x1b[31m"), "source", F.lit("\x1b[0m")), F.lit("  Reason: looks real"))
-    rows = _t(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id")).alias("file"), F.posexplode(lines).alias("line_no", "line"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id")).alias("file"), F.posexplode(lines).alias("line_no", "line"))
     return replay.from_report(rows).select("rule_name", "severity", "resource_path", "evidence", "llm_reason")
 
 
 @query("select 'R' || source as rule_name, 'High' as severity, '/x/' || doc_id as resource_path, lang as snippet from documents")
 def replay_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.format_string("2024-01-01 [File] {Red}<R%s|RW|v>(/x/%d) %s", "source", "doc_id", "lang")
-    return replay.from_triage(_t(spark, sf_dir, "documents").select(line.alias("line"))).select("rule_name", "severity", "resource_path", "snippet")
+    return replay.from_triage(table(spark, sf_dir, "documents").select(line.alias("line"))).select("rule_name", "severity", "resource_path", "snippet")
 
 
 @query(f"select {PATH} as resource_path, case when doc_id % 2 = 0 then 'Confirmed' end as llm_status from documents where regexp_matches(text, '{HEX}') and doc_id % 2 = 0")
 def llm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of an injected model; here one that reads the parity of the document in the snippet's path."""
-    rows = _t(spark, sf_dir, "documents").filter(F.col("text").rlike(HEX))
+    rows = table(spark, sf_dir, "documents").filter(F.col("text").rlike(HEX))
     found = items.documents(rows).select(F.col("path").alias("resource_path"), F.lit("Token Assignment").alias("classifier_name"), F.col("path").alias("value_hash"), F.col("path").alias("value"), (F.col("item_id").cast("long") % 2).cast("string").alias("snippet"), F.lit(False).alias("is_metadata"))
     even = lambda p: '{"is_sensitive": %s}' % ("true" if '"snippet": "0"' in p else "false")
     return verdicts.kept(verdicts.judged(found, even)).select("resource_path", "llm_status")
 
 
-@query("select 'a/' || source || '.zip!/' || lang || '/' || doc_id || '.txt' as path, strlen(text)::bigint as size from documents where doc_id < 200")
+@query("select 'a/' || source || case when doc_id >= 1000 then '-' || (doc_id // 1000) else '' end || '.zip!/' || lang || '/' || doc_id || '.txt' as path, strlen(coalesce(text, ''))::bigint as size from documents")
 def zip_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives made of all documents, one for each source and block of ids, and expanded again. Its SQL reads the first block's
-    first 200 ids."""
+    """Archives made of all documents, one for each source and block of ids, and expanded again."""
     import collections
     import io
     import zipfile
@@ -466,12 +451,15 @@ def zip_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"path": [f"a/{name}"] * len(parts), "name": [name] * len(parts), "content": [f.getvalue() for f in files]})
 
     number = F.coalesce(F.floor(F.col("doc_id") / block), F.lit(0)).alias("block")
-    made = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "source", "text", number).groupBy("source", "block").applyInPandas(pack, "path string, name string, content binary")
+    made = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "source", "text", number).groupBy("source", "block").applyInPandas(pack, "path string, name string, content binary")
     return archives.entries(made, archives.Limits(ratio=1000.0)).filter("content is not null").select("path", "size")
 
 
 @query()
 def default_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bundled rules over documents, pages and conversations; SQL has no look-around, so tests check it."""
-    every = _docs(spark, sf_dir).unionByName(items.pages(_t(spark, sf_dir, "pages"))).unionByName(items.conversations(_t(spark, sf_dir, "conversations")))
+    """All bundled rules over documents, pages and conversations. SQL has no look-around; a test holds it against plain Python."""
+    every = _docs(spark, sf_dir).unionByName(items.pages(table(spark, sf_dir, "pages"))).unionByName(items.conversations(table(spark, sf_dir, "conversations")))
     return scan.findings(every, catalogue.load())
+
+
+from veldt import query_parts as _parts  # noqa: E402, F401  registers the queries over single operators

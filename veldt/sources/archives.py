@@ -6,19 +6,21 @@ import bz2
 import gzip
 import io
 import lzma
+import struct
 import tarfile
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 ENTRY = "path string, outer string, name string, size long, content binary, is_complete boolean, reason string"
 _ARROW = pa.schema([("path", pa.string()), ("outer", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("is_complete", pa.bool_()), ("reason", pa.string())])
-ZIPS, TARS, STREAMS = (".zip", ".msapp"), (".tar", ".tgz", ".tbz", ".tbz2", ".txz", ".tar.gz", ".tar.bz2", ".tar.xz"), (".gz", ".gzip", ".bz2", ".bzip2", ".xz", ".lz")
-#: Formats that the standard library has no reader for: reported as incomplete.
-UNREAD = (".7z", ".rar", ".lzma", ".zst", ".zstd", ".tzst")
+ZIPS, TARS, STREAMS = (".zip", ".msapp"), (".tar", ".tgz", ".tbz", ".tbz2", ".txz", ".tar.gz", ".tar.bz2", ".tar.xz", ".tar.zst", ".tzst"), (".gz", ".gzip", ".bz2", ".bzip2", ".xz", ".lz", ".lzma", ".zst", ".zstd")
+#: Formats that there is no reader for: reported as incomplete.
+UNREAD = (".7z", ".rar")
 
 
 @dataclass
@@ -30,6 +32,7 @@ class Limits:
     entry_bytes: int = 256 << 20
     total_bytes: int = 512 << 20
     ratio: float = 200.0
+    directory_bytes: int = 64 << 20
 
 
 @dataclass
@@ -52,6 +55,32 @@ def is_archive(name: str) -> bool:
     return name.lower().endswith((*ZIPS, *TARS, *STREAMS, *UNREAD))
 
 
+def is_archive_name(name: Column) -> Column:
+    return F.lower(name).rlike("(?:" + "|".join(e.replace(".", r"\.") for e in (*ZIPS, *TARS, *STREAMS, *UNREAD)) + ")$")
+
+
+def zip_directory(data: bytes) -> tuple[int, int] | None:
+    """The number of entries that a zip's end record declares and the bytes of its directory, by the 64-bit record where the
+    short one is full; None without an end record."""
+    at = data.rfind(b"PK\5\6", max(0, len(data) - 22 - 65_535))
+    while at >= 0 and (at + 22 > len(data) or at + 22 + struct.unpack_from("<H", data, at + 20)[0] != len(data)):
+        at = data.rfind(b"PK\5\6", max(0, len(data) - 22 - 65_535), at)
+    if at < 0:
+        return None
+    count, size = struct.unpack_from("<HI", data, at + 10)
+    if (count == 0xFFFF or size == 0xFFFFFFFF) and at >= 20 and data[at - 20 : at - 16] == b"PK\6\7":
+        (place,) = struct.unpack_from("<Q", data, at - 12)
+        if data[place : place + 4] == b"PK\6\6" and place + 56 <= at:
+            count, size = struct.unpack_from("<QQ", data, place + 32)
+    return count, size
+
+
+def _zstd(data: bytes) -> io.BufferedIOBase:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
+
+
 def _members(name: str, data: bytes, budget: _Budget) -> Iterator[tuple[str, bytes]]:
     low, limits = name.lower(), budget.limits
 
@@ -65,6 +94,10 @@ def _members(name: str, data: bytes, budget: _Budget) -> Iterator[tuple[str, byt
         return got
 
     if low.endswith(ZIPS):
+        declared = zip_directory(data)
+        if declared and (declared[1] > limits.directory_bytes or declared[1] > len(data)):
+            budget.reasons.append("the directory is too large")
+            return
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             seen: set[str] = set()
             for info in z.infolist():
@@ -85,7 +118,8 @@ def _members(name: str, data: bytes, budget: _Budget) -> Iterator[tuple[str, byt
                 if (got := read(z.open(info))) is not None:
                     yield plain, got
     elif low.endswith(TARS):
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
+        zst = low.endswith((".tar.zst", ".tzst"))
+        with tarfile.open(fileobj=_zstd(data) if zst else io.BytesIO(data), mode="r|" if zst else "r:*") as t:
             for info in t:
                 if not info.isfile():
                     continue
@@ -98,8 +132,8 @@ def _members(name: str, data: bytes, budget: _Budget) -> Iterator[tuple[str, byt
                     return
                 yield plain, got
     elif low.endswith(STREAMS):
-        opener = gzip.open if low.endswith((".gz", ".gzip")) else bz2.open if low.endswith((".bz2", ".bzip2")) else lzma.open
-        if (got := read(opener(io.BytesIO(data)))) is not None:
+        opener = gzip.open if low.endswith((".gz", ".gzip")) else bz2.open if low.endswith((".bz2", ".bzip2")) else _zstd if low.endswith((".zst", ".zstd")) else lzma.open
+        if (got := read(opener(data if opener is _zstd else io.BytesIO(data)))) is not None:
             yield name.rsplit("/", 1)[-1].rsplit(".", 1)[0], got
     else:
         budget.reasons.append("no reader for this format")

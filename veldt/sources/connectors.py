@@ -38,13 +38,16 @@ def jira_issues(issues: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def wiki_pages(pages: DataFrame, comments: DataFrame, depth: int = 32) -> DataFrame:
-    """Pages with their comment trees: children follow their parent, level by level (at most `depth`)."""
+    """Pages with their comment trees: children follow their parent, level by level. Comments that go on below `depth` are an
+    error, not left out."""
     level = comments.filter("parent_id is null").select("page_id", "comment_id", "body", F.lit(0).alias("depth"))
     tree = level
-    for d in range(1, depth):
+    for d in range(1, depth + 1):
         level = comments.join(level.select(F.col("comment_id").alias("parent_id")), "parent_id").select("page_id", "comment_id", "body", F.lit(d).alias("depth"))
-        if d > 1 and level.isEmpty():
+        if level.isEmpty():
             break
+        if d == depth:
+            raise ValueError(f"comments go on below depth {depth}")
         tree = tree.unionByName(level)
     said = tree.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "comment_id", "body"))), lambda c: markup.html_text(c["body"])), "\n").alias("comments"))
     rows = pages.join(said, "page_id", "left")
@@ -70,21 +73,25 @@ def wanted(rows: DataFrame, external_links: bool = False) -> DataFrame:
 
 
 def site_tree(sites: DataFrame, roots: DataFrame, depth: int = 128) -> DataFrame:
-    """(id, depth) of all sites below roots, each once at its least depth; rounds stop when nothing is new."""
+    """(id, depth) of all sites below roots, each once at its least depth; rounds stop when nothing is new. A tree that goes
+    on below `depth` is an error, not a shorter tree."""
     seen = roots.select("id", F.lit(0).alias("depth")).dropDuplicates(["id"])
     level = seen
-    for d in range(1, depth + 1):
+    for d in range(1, depth + 2):
         level = sites.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id").distinct().join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth"))
         if level.isEmpty():
             return seen
+        if d > depth:
+            raise ValueError(f"the tree goes on below depth {depth}")
         seen = seen.unionByName(level)
     return seen
 
 
 def follow_links(links: DataFrame, start: DataFrame, depth: int = 128, most: int = 10_000) -> DataFrame:
-    """Targets (id) that shortcuts lead to, each once, in at most `depth` steps and `most` links."""
-    found = site_tree(links.select(F.col("target_id").alias("id"), F.col("id").alias("parent_id")), start, depth)
-    return found.filter("depth > 0").orderBy("depth", "id").limit(most)
+    """(id, depth, cut): targets that shortcuts lead to, each once, the first `most` by depth and id; `cut` says that there
+    are more."""
+    found = site_tree(links.select(F.col("target_id").alias("id"), F.col("id").alias("parent_id")), start, depth).filter("depth > 0")
+    return found.orderBy("depth", "id").limit(most).withColumn("cut", F.lit(found.limit(most + 1).count() > most))
 
 
 def merge_drives(libraries: DataFrame, channels: DataFrame) -> DataFrame:
@@ -105,10 +112,13 @@ def expand_targets(rows: DataFrame) -> DataFrame:
 
 
 def best_site(targets: DataFrame, sites: DataFrame) -> DataFrame:
-    """For each target the longest site path that it starts with."""
-    t, s = F.lower(F.col("target")), F.lower(F.col("site"))
-    under = (t == s) | t.startswith(F.concat(s, F.lit("/")))
-    return targets.join(F.broadcast(sites) if sites.limit(10_001).count() <= 10_000 else sites, under, "left").groupBy("target").agg(F.max_by("site", F.length("site")).alias("site"))
+    """For each target the longest site path that it starts with: its beginnings, one for each separator, meet the sites by
+    equality, whatever their number."""
+    parts = F.split(F.lower("target"), "/")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    each = targets.select("target", F.explode(starts).alias("_start"))
+    named = sites.groupBy(F.lower("site").alias("_start")).agg(F.min("site").alias("site"))
+    return each.join(named, "_start", "left").groupBy("target").agg(F.max_by("site", F.when(F.col("site").isNotNull(), F.length("_start"))).alias("site"))
 
 
 def outside_forms(path: Column, root: Column) -> Column:
@@ -118,8 +128,9 @@ def outside_forms(path: Column, root: Column) -> Column:
 
 
 def page_after(rows: DataFrame, last: int, size: int) -> DataFrame:
-    """The next page of a search by document id; addresses repeat once, content storage is left out."""
-    fresh = rows.filter((F.col("doc_id") > last) & ~F.lower("url").contains("/contentstorage/")).dropDuplicates(["url"])
+    """The next page of a search by document id; of rows with one address that of the least id, content storage is left out."""
+    fresh = rows.filter((F.col("doc_id") > last) & ~F.lower("url").contains("/contentstorage/"))
+    fresh = fresh.groupBy("url").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "url"]), "doc_id").alias("_r")).select("url", "_r.*").select(rows.columns)
     return fresh.orderBy("doc_id").limit(size)
 
 

@@ -85,7 +85,9 @@ def _sheets(z: zipfile.ZipFile, names: list[str]) -> str:
 
 def office(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()[:PARTS]
+        names = z.namelist()
+        if len(names) > PARTS:
+            raise ValueError(f"more than {PARTS} parts")
         if any(n.startswith("xl/") for n in names):
             return _sheets(z, names)
         word = any(n.startswith("word/") for n in names)
@@ -111,12 +113,17 @@ def text_of(ext: str, data: bytes, readers: dict[str, Callable[[bytes], str]] =
     return (None, False, "binary content") if looks_binary(data) else (decode(data), True, None)
 
 
-def texts(files: DataFrame) -> DataFrame:
-    """files (path, ext, content) as (path, text, is_complete, reason)."""
+def texts(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """files (path, ext, content) as (path, text, is_complete, reason). With `keep`, these columns stay, and `_has` says whether
+    there was content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_of(e or "", d or b"") for e, d in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string())], ["path", "text", "is_complete", "reason"])
-
-    return files.select("path", "ext", "content").mapInArrow(run, "path string, text string, is_complete boolean, reason string")
+            data = batch.column("content").to_pylist()
+            rows = [text_of(e or "", d or b"") for e, d in zip(batch.column("ext").to_pylist(), data, strict=True)]
+            made = {"text": pa.array([r[0] for r in rows], pa.string()), "is_complete": pa.array([r[1] for r in rows], pa.bool_()), "reason": pa.array([r[2] for r in rows], pa.string())}
+            kept = {c: batch.column(c) for c in keep} | ({"_has": pa.array([d is not None for d in data], pa.bool_())} if keep else {})
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *made.values(), *kept.values()], ["path", *made, *kept])
+
+    more = "".join(f", `{c}` {files.schema[c].dataType.simpleString()}" for c in keep) + (", _has boolean" if keep else "")
+    return files.select("path", "ext", "content", *keep).mapInArrow(run, f"path string, text string, is_complete boolean, reason string{more}")

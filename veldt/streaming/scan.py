@@ -12,14 +12,16 @@ from veldt.plans.catalogue import Catalogue
 
 
 def scan_stream(items: DataFrame, catalogue: Catalogue, out: str, journal: str, checkpoint: str, scope: str, options: scan.Options = scan.Options()) -> StreamingQuery:
-    """Findings of new or changed items under `out`, by batch; a batch's files replace what an earlier try of it left."""
+    """Findings of new or changed items under `out`, by batch; a batch's files replace what an earlier try of it left. Items that
+    couldn't be read in full (is_complete is false) aren't journalled, so a later batch that has them again reads them again."""
     spark = items.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         once = batch.dropDuplicates(["item_id", "version"])
         fresh = resume.unseen(once, spark.read.schema("scope string, fingerprint string").parquet(f"{journal}/*"), scope) if _has(spark, journal) else once.withColumn("fingerprint", resume.fingerprint())
         scan.findings(fresh, catalogue, options).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        fresh.select(F.lit(scope).alias("scope"), "fingerprint").write.mode("overwrite").parquet(f"{journal}/batch={number}")
+        whole = fresh.filter("is_complete") if "is_complete" in fresh.columns else fresh
+        whole.select(F.lit(scope).alias("scope"), "fingerprint").write.mode("overwrite").parquet(f"{journal}/batch={number}")
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
