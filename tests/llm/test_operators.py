@@ -590,6 +590,42 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs).count() == mixed.count() and mixing.mix(empty).count() == 0
 
 
+def test_wavelet_matrix_of_many_blocks_unpacks_few():
+    ids = np.random.default_rng(5).integers(0, 50_000, 200_000).astype(np.uint16)
+    w = token_store.Wavelet(token_store.write_shard(0, 0, [1], [200_000], ids))
+    assert [w.access(i) for i in (0, 65_535, 65_536, 131_072, 199_999)] == ids[[0, 65_535, 65_536, 131_072, 199_999]].tolist() and len(w.held) <= 80
+    where = np.flatnonzero(ids == ids[777])
+    assert w.count(int(ids[777])) == len(where) and [w.select(int(ids[777]), k) for k in range(len(where))] == where.tolist()
+    assert (w.tokens() == ids).all()
+
+
+def test_token_files_refuse_ids_they_cant_hold(docs):
+    public = pytest.importorskip("public_tokenizers")
+    with pytest.raises(ValueError, match="whole number"):
+        token_store.store(docs.withColumn("doc_id", F.col("doc_id").cast("string")), public.path("word_bpe_49k.json"))
+
+
+def test_tokenizers_that_look_across_blanks_encode_whole_texts(docs):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    encoder, whole = token_store.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    texts = [t or "" for _, t, _ in corpus()]
+    assert encoder.whole and not token_store.Encoder.of(public.path("word_bpe_49k.json")).whole
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.batch([t.encode() for t in texts])] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_scopes_delete_what_was_staged(spark, docs, tmp_path):
+    from veldt.llm import common
+
+    outer, paths = common.Stage(spark, "outer", held=True), []
+    with common.scope(spark):
+        inner = common.Stage(spark, "inner")
+        inner.put("a", docs), outer.put("b", docs)
+        paths += [inner.paths["a"], outer.paths["b"]]
+    exists = [spark._jvm.java.io.File(p.removeprefix("file://")).exists() for p in paths]
+    assert exists == [False, True]
+
+
 @pytest.mark.parametrize("sizes", [[10, 1000, 1000], [1, 1, 1], [0, 50, 7, 9, 100], [5]])
 def test_targets(spark, sizes):
     frame = spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(sizes)], "source string, source_size long")

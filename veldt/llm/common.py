@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import math
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,13 +33,33 @@ def staging_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = tempfile.mkdtemp(prefix="veldt-")
+    logging.getLogger("veldt").info("spark.checkpoint.dir is unset: tables are staged in %s until the session ends", root)
     atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{root}")
     return f"file://{root}"
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/veldt/{label}-{uuid.uuid4().hex}"
+#: Paths made in each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def new_path(spark: SparkSession, label: str, held: bool = False) -> str:
+    """A path for a staged table or file; the innermost scope deletes it at its end unless it is `held`."""
+    path = f"{staging_root(spark)}/veldt/{label}-{uuid.uuid4().hex}"
+    if _scopes and not held:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged inside: for results that are written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -50,13 +72,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
 class Stage:
     """Tables that one operator writes to the shared folder on its way; a lost executor costs at most one step.
 
-    `put` writes and rereads a table, `drop` deletes those that the result doesn't read."""
+    `put` writes and rereads a table, `drop` deletes those that the result doesn't read. What it holds stays beyond scopes if
+    `held`."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.label, self.paths = spark, label, {}
+    def __init__(self, spark: SparkSession, label: str, held: bool = False):
+        self.spark, self.label, self.held, self.paths = spark, label, held, {}
 
     def put(self, name: str, frame: DataFrame, files: int | None = None) -> DataFrame:
-        path = new_path(self.spark, f"{self.label}-{name}")
+        path = new_path(self.spark, f"{self.label}-{name}", self.held)
         (frame.coalesce(files) if files else frame).write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(frame.schema).parquet(path)

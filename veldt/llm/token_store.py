@@ -2,13 +2,15 @@
 
 A file is one shard: a header (magic, shard, counts), the documents' ids and lengths, and for each of the 16 bits of a token
 id, highest first, a plane: the bits of all tokens in that level's order, with the number of ones before every 512th bit.
-Planes are zstandard frames. A level's zeros go before its ones in the next level, so `Wavelet` answers access(i), rank(id,
-i), count(id) and select(id, k) with one rank or select a level, from the one file.
+Planes are blocks of zstandard frames of their own. A level's zeros go before its ones in the next level, so `Wavelet` answers
+access(i), rank(id, i), count(id) and select(id, k) with one rank or select a level, from the one file, and unpacks only the
+blocks that it touches.
 
 Files are written by Spark's own writer on whatever file system it has, and read back with `binaryFile`.
 
 Defined cases: a null or empty text has the end id alone; rows that repeat a doc_id are kept, side by side; null doc_ids come
-first; an empty table writes no files and gives no rows; other columns aren't read.
+first; doc_ids that aren't whole numbers and tokenizers of more than 65,536 ids are errors before anything is written; an
+empty table writes no files and gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import os
 import struct
 import zlib
 from array import array
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import ClassVar
 from unicodedata import is_normalized
@@ -26,18 +29,23 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from veldt.llm.common import Stage, new_path, parts_for, table, utf8
 
 END_ID, BITS, SUPER = 1, 16, 512
+#: Bytes of a plane's block.
+PLANE_BLOCK = 8192
+PROBE = "The 12,5 quick-brown Fox's, jumped. Over ÉÈ ß 東京 <|x a@b.c  end.\n\tA,b. www.X.org/y?z=1 don't U.S."
 #: Bytes of text in a shard, about; and tokens from which a shard's rows are cut into another file.
 SHARD_BYTES, FILE_TOKENS = 12 << 20, 4_000_000
-MAGIC = b"VWM1"
+MAGIC = b"VWM2"
 
 
 class Encoder:
-    """Ids of texts. The tokenizer drops white space and never looks across it, so pieces between ASCII white space are
-    encoded once each and kept: two generations of up to `limit` pieces, so that frequent ones stay."""
+    """Ids of texts. Where the tokenizer drops white space and never looks across it, pieces between ASCII white space are
+    encoded once each and kept: two generations of up to `limit` pieces, so that frequent ones stay. Other tokenizers encode
+    whole texts."""
 
     opened: ClassVar[dict[str, Encoder]] = {}
 
@@ -45,9 +53,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.old = Tokenizer.from_file(path), limit, {}, {}
+        self.tokenizer, self.limit, self.known, self.old, self.whole = Tokenizer.from_file(path), limit, {}, {}, False
         special = self.tokenizer.get_added_tokens_decoder()
-        self.part_id, self.part = next((i, t.content) for i, t in sorted(special.items()) if t.content.startswith("<|"))
+        self.part_id, self.part = next(((i, t.content) for i, t in sorted(special.items()) if t.content.startswith("<|")), (None, None))
+        if self.tokenizer.get_vocab_size() > 1 << BITS:
+            raise ValueError(f"{path}: ids have more than {BITS} bits")
+        # Words are encoded once each only where a probe has the same ids that way.
+        self.whole = self.part is None or self.batch([PROBE.encode()])[0] != array("H", [*self._ids(PROBE), END_ID]).tobytes()
+        self.known.clear()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -57,6 +70,8 @@ class Encoder:
         return cls.opened[path]
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
+        if self.whole:
+            return [array("H", [*x.ids, END_ID]).tobytes() for x in self.tokenizer.encode_batch([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
         pieces = [self._pieces(t) for t in texts]
         fresh = set().union(*pieces).difference(self.known)
         if len(self.known) + len(fresh) > self.limit:
@@ -140,10 +155,12 @@ def write_shard(shard: int, part: int, doc_ids: list[int | None], sizes: list[in
     head = MAGIC + struct.pack("<qiqq", shard, part, len(doc_ids), len(ids))
     known = np.array([x is not None for x in doc_ids], np.uint8).tobytes()
     body = [known + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(sizes, "<i8").tobytes()]
+    out = [head, struct.pack("<q", len(first := squeeze(body[0]))), first]
     for zeros, bits, ones in build(ids):
-        body.append(struct.pack("<q", zeros) + ones + bits)
-    frames = [squeeze(x) for x in body]
-    return head + b"".join(struct.pack("<q", len(x)) + x for x in frames)
+        blocks = [squeeze(bits[k : k + PLANE_BLOCK]) for k in range(0, len(bits), PLANE_BLOCK)]
+        before = squeeze(ones)
+        out += [struct.pack("<qqq", zeros, len(before), len(blocks)), before, np.array([len(x) for x in blocks], "<i4").tobytes(), *blocks]
+    return b"".join(out)
 
 
 def read_head(data: bytes) -> tuple[int, int, int, int]:
@@ -158,28 +175,52 @@ class Wavelet:
 
     def __init__(self, data: bytes):
         self.shard, self.part, self.docs, self.n = read_head(data)
-        at, frames = 4 + struct.calcsize("<qiqq"), []
-        for _ in range(BITS + 1):
-            (size,) = struct.unpack_from("<q", data, at)
-            frames.append(zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size]))
-            at += 8 + size
-        head, d = frames[0], self.docs
+        self.data, self.held = data, OrderedDict()
+        self.plain = zstandard.ZstdDecompressor().decompress
+        at = 4 + struct.calcsize("<qiqq")
+        (size,) = struct.unpack_from("<q", data, at)
+        head, d = self.plain(data[at + 8 : at + 8 + size]), self.docs
+        at += 8 + size
         known = np.frombuffer(head, np.uint8, d)
         self.doc_ids = [int(x) if k else None for x, k in zip(np.frombuffer(head, "<i8", d, d), known, strict=True)]
         self.sizes = np.frombuffer(head, "<i8", d, d + 8 * d)
-        blocks = -(-self.n // SUPER)
-        self.zeros = [struct.unpack_from("<q", f)[0] for f in frames[1:]]
-        self.before = [np.frombuffer(f, "<u4", blocks + 1, 8) for f in frames[1:]]
-        self.planes = [np.frombuffer(f, np.uint8, blocks * SUPER // 8, 8 + 4 * (blocks + 1)) for f in frames[1:]]
+        self.zeros, self.before, self.places = [], [], []
+        for _ in range(BITS):
+            zeros, size, blocks = struct.unpack_from("<qqq", data, at)
+            at += 24
+            self.zeros.append(zeros)
+            self.before.append(np.frombuffer(self.plain(data[at : at + size]), "<u4"))
+            sizes = np.frombuffer(data, "<i4", blocks, at + size)
+            at += size + 4 * blocks
+            self.places.append(at + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+            at = int(self.places[-1][-1])
+
+    def block(self, level: int, k: int) -> np.ndarray:
+        """The bytes of a plane's block; the last 256 blocks that were read are kept."""
+        if (level, k) not in self.held:
+            start, end = self.places[level][k : k + 2]
+            self.held[level, k] = np.frombuffer(self.plain(self.data[start:end]), np.uint8)
+            if len(self.held) > 256:
+                self.held.popitem(last=False)
+        return self.held[level, k]
+
+    def plane(self, level: int) -> np.ndarray:
+        start = self.places[level]
+        return np.frombuffer(b"".join(self.plain(self.data[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)), np.uint8)
+
+    def bits(self, level: int, super_: int) -> np.ndarray:
+        """The bits of a plane from a SUPER-th on, SUPER of them."""
+        k, at = divmod(super_ * SUPER // 8, PLANE_BLOCK)
+        return np.unpackbits(self.block(level, k)[at : at + SUPER // 8])
 
     def bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3] >> (7 - (i & 7))) & 1
+        k, at = divmod(i >> 3, PLANE_BLOCK)
+        return int(self.block(level, k)[at] >> (7 - (i & 7))) & 1
 
     def ones(self, level: int, i: int) -> int:
         """Ones before position i of a plane."""
-        block = i // SUPER
-        bits = np.unpackbits(self.planes[level][block * SUPER // 8 : -(-i // 8)])[: i - block * SUPER]
-        return int(self.before[level][block]) + int(bits.sum())
+        block, rest = divmod(i, SUPER)
+        return int(self.before[level][block]) + (int(self.bits(level, block)[:rest].sum()) if rest else 0)
 
     def access(self, i: int) -> int:
         value = 0
@@ -225,14 +266,13 @@ class Wavelet:
         if not one:
             before = np.arange(len(before)) * SUPER - before
         block = int(np.searchsorted(before, k, "right")) - 1
-        bits = np.unpackbits(self.planes[level][block * SUPER // 8 : (block + 1) * SUPER // 8])
-        return block * SUPER + int(np.flatnonzero(bits == one)[k - int(before[block])])
+        return block * SUPER + int(np.flatnonzero(self.bits(level, block) == one)[k - int(before[block])])
 
     def tokens(self) -> np.ndarray:
         """All tokens in order, level by level from the last."""
         now = np.zeros(self.n, np.uint16)
         for level in range(BITS - 1, -1, -1):
-            b = np.unpackbits(self.planes[level])[: self.n].astype(bool)
+            b = np.unpackbits(self.plane(level))[: self.n].astype(bool)
             out = np.empty(self.n, np.uint16)
             out[~b], out[b] = now[: self.zeros[level]], now[self.zeros[level] :]
             now = out | (b.astype(np.uint16) << np.uint16(BITS - 1 - level))
@@ -284,7 +324,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encodes the texts of docs and writes their token files under `path`, in ascending order of doc_id and text hash. The
     boundaries of shards come from Spark's range sampling, so a shard is bounded whatever the ids."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise ValueError("doc_id must be a whole number")
+    Encoder.of(tokenizer)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     placed = texts.repartitionByRange(parts_for(docs.sparkSession, total, SHARD_BYTES), "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
     files = placed.mapInArrow(_files(tokenizer), "data binary")
@@ -302,7 +345,8 @@ def store(docs: DataFrame, tokenizer: str, label: str = "tokens") -> DataFrame:
     spark = docs.sparkSession
     write(docs, path := new_path(spark, f"{label}-files"), tokenizer)
     rows = Stage(spark, label).put("rows", read(spark, path))
-    files = rows.groupBy("shard", "part").agg(F.max("file_tokens").alias("n"))  # a row for each file
+    # A row for each file: 80,000 of them for 1 TB of text, so one ordered window over all is small.
+    files = rows.groupBy("shard", "part").agg(F.max("file_tokens").alias("n"))
     base = files.select("shard", "part", (F.sum("n").over(Window.orderBy("shard", "part")) - F.col("n")).alias("base"))
     return rows.join(base, ["shard", "part"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
