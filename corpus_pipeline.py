@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldt.llm.common import Stage, table
+from veldt.llm.common import Stage, scope, table
 from veldt.llm.decontaminate import remove
 from veldt.llm.mixing import mix
 from veldt.llm.ngram_join import keep_one
@@ -51,12 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for `documents`; each stage's rows are written and read again before the next."""
-    docs, stage = table(spark, sf_dir, "documents"), Stage(spark, "pipeline")
-    for i, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stage.put(f"{i}", docs)
-            if i:
-                stage.drop(f"{i - 1}")
-    return docs
+    """The last stage's rows for `documents`; each stage's rows are written and read again before the next, and what the stage
+    put by on its way is deleted then. Of the last stage the token files and their rows stay, as the result reads them."""
+    docs, stage = table(spark, sf_dir, "documents"), Stage(spark, "pipeline", held=True)
+    for i, (_, step) in enumerate(STAGES[:-1]):
+        with scope(spark):
+            docs = stage.put(f"{i}", step(spark, docs, sf_dir))
+        if i:
+            stage.drop(f"{i - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
