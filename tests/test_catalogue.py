@@ -135,6 +135,11 @@ def test_windows_find_what_the_whole_text_has(spark):
     text = "".join(f"{'x' * k} {card} " for k in range(0, 700, 3))
     want = list(Matcher(rules, Reading(window=0)).find(text, "a.txt", ".txt", []))
     assert len(want) == 234 and list(Matcher(rules, Reading(window=300, overlap=60)).find(text, "a.txt", ".txt", [])) == want
+    numbers = [Rule("N", (Match("Content", ("[0-9]{3,}",), extensions=(".txt",)),))]
+    digits = "".join(f"{'1' * (k % 9)} " for k in range(400)) + "7" * 30
+    for window in range(20, 60):
+        cut = Reading(window=window, overlap=12)
+        assert list(Matcher(numbers, cut).find(digits[:-31], "a.txt", ".txt", [])) == list(Matcher(numbers, Reading(window=0)).find(digits[:-31], "a.txt", ".txt", []))
     both = list(Matcher(rules, Reading(sample_over=5_000, part=1_000)).find(text, "a.txt", ".txt", []))
     assert both == [m for m in want if m[1] + m[2] <= 1_000 or m[1] >= len(text) - 1_000]
     assert [s[:2] for s in Reading(window=10, overlap=4).spans(0)] == [(0, 0)]

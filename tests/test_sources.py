@@ -2,6 +2,7 @@ import io
 import json
 import tarfile
 import zipfile
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -47,13 +48,67 @@ def test_text_of_files(spark):
     word = zipped([("word/document.xml", "<w:document xmlns:w='w'><w:p><w:r><w:t>Hello</w:t><w:tab/><w:t>there</w:t></w:r></w:p></w:document>")])
     sheet = zipped([("xl/sharedStrings.xml", "<sst><si><t>shared</t></si></sst>"), ("xl/worksheets/sheet1.xml", "<worksheet><sheetData><row><c t='s'><v>0</v></c><c><v>7</v></c></row></sheetData></worksheet>")])
     assert extract.text_of(".docx", word)[0].strip() == "Hello\tthere" and "shared 7" in extract.text_of(".xlsx", sheet)[0]
-    assert extract.text_of(".docx", b"broken")[1] is False and extract.text_of(".pdf", b"%PDF")[2] == "no reader for .pdf"
+    assert extract.text_of(".docx", b"broken")[1] is False and extract.text_of(".one", b"x")[2] == "no reader for .one"
     assert extract.decode("\ufeffé".encode("utf-16-le")) == "é" and extract.decode("abcd".encode("utf-16-le")) == "abcd"
     assert extract.looks_binary(b"\0\1\2abc\3\0") and not extract.looks_binary("héllo".encode()) and not extract.looks_binary(b"")
     frame = spark.createDataFrame([("a.txt", ".txt", bytearray(b"hi")), ("b.bin", ".bin", bytearray(b"\0\1"))], "path string, ext string, content binary")
     assert {r.path: (r.text, r.is_complete) for r in extract.texts(frame).collect()} == {"a.txt": ("hi", True), "b.bin": (None, False)}
 
 
+def pdf_file(content, extra=b""):
+    packed = zlib.compress(content)
+    return b"%PDF-1.4\n1 0 obj << /Length " + str(len(packed)).encode() + b" /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\nendobj\n" + extra + b"%%EOF"
+
+
+def test_text_of_pdf_files():
+    page = rb"BT /F1 12 Tf 72 700 Td (Hello \(PDF\)) Tj 0 -14 Td [(wor) -20 (ld) -400 (again)] TJ T* <48692021> Tj ET"
+    assert extract.text_of(".pdf", pdf_file(page)) == ("Hello (PDF)\nworld again\nHi !", True, None)
+    cmap = b"2 0 obj << >>\nstream\nbegincmap 1 beginbfchar <0001> <0041> endbfchar 1 beginbfrange <0002> <0004> <0062> endbfrange endcmap\nendstream\nendobj\n"
+    assert extract.pdf(pdf_file(b"BT <00010002000300040001> Tj ET", cmap)) == "AbcdA"
+    assert extract.text_of(".pdf", pdf_file(page, b"trailer << /Encrypt 5 0 R >>"))[1:] == (False, "unreadable: encrypted")
+    assert extract.text_of(".pdf", pdf_file(b"q Q", b"3 0 obj << /Subtype /Image >> endobj"))[2] == "unreadable: pages are pictures"
+    assert extract.text_of(".pdf", b"%PDF")[1] is False
+
+
+def test_text_of_embedded_parts():
+    word = lambda text, *more: zipped([("word/document.xml", f"<w:document xmlns:w='w'><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:document>"), *more])
+    inner = word("inner")
+    outer = word("outer", ("word/embeddings/a.docx", inner), ("word/embeddings/again.docx", inner), ("word/embeddings/b.zip", zipped([("c.txt", b"zipped"), ("d.pdf", pdf_file(b"BT (page) Tj ET"))])), ("word/embeddings/e.txt", b"plain"))
+    text, whole, _ = extract.text_of(".docx", outer)
+    assert whole and text.split() == ["outer", "inner", "zipped", "page", "plain"]
+    assert extract.text_of(".docx", word("x", ("word/embeddings/o.bin", b"\0\1\2")))[1:] == (False, "unreadable: no reader for the embedded part word/embeddings/o.bin")
+    deep = word("4")
+    for k in "3210":
+        deep = word(k, ("word/embeddings/n.docx", deep))
+    assert extract.text_of(".docx", deep)[2] == "unreadable: documents are embedded too deep"
+    unsafe = zipped([("../x.txt", b"no")])
+    assert "unsafe" in extract.text_of(".docx", word("x", ("word/embeddings/z.zip", unsafe)))[2]
+
+
+def test_end_records_and_zstd():
+    import struct
+
+    import zstandard
+
+    data = zipped([(f"{k}.txt", b"x") for k in range(5)])
+    assert archives.zip_directory(data)[0] == 5 and archives.zip_directory(b"PK") is None
+    lying = bytearray(data)
+    struct.pack_into("<I", lying, data.rfind(b"PK\5\6") + 12, 100 << 20)
+    assert archives.expand("a.zip", "a.zip", bytes(lying))[-1]["reason"] == "the directory is too large"
+    squeezed = zstandard.ZstdCompressor().compress(b"text")
+    assert [r["content"] for r in archives.expand("a.txt.zst", "a.txt.zst", squeezed)] == [b"text", None]
+
+
+def test_progress_of_a_run():
+    from veldt.operators.progress import Bucket
+
+    now = [0.0]
+    bucket = Bucket(100, lambda: now[0])
+    assert bucket.wait(100) == 0 and bucket.wait(50) == 0.5
+    now[0] = 10.0
+    assert bucket.wait(100) == 0 and bucket.wait(200) == 2.0
+
+
 def test_chat_issue_and_wiki_items(spark):
     chat = spark.createDataFrame([("T", "C", "1.5", "ann", "hi", json.dumps([{"text": {"text": "block"}}]), json.dumps([{"title": "att"}]), None)], "team string, channel string, ts string, user string, text string, blocks string, attachments string, edited_ts string")
     one = connectors.slack_messages(chat).first()

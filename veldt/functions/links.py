@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ("Info", "Informational", "Low", "Medium", "High", "Critical")
@@ -43,3 +43,27 @@ def web_link(path: Column, site: Column) -> Column:
         .when(path.rlike(message), chat)
         .otherwise(path)
     )
+
+
+def storage_link(path: Column, drive_url: Column) -> Column:
+    """The https address of a file in a site's or person's storage, `sharepoint://drive/folder/name`, below the address of its
+    drive; each part of the path is encoded by itself. Without a drive's address the path stays."""
+    rest = F.regexp_extract(path, r"^sharepoint://[^/]+/(.*)$", 1)
+    parts = F.array_join(F.transform(F.split(rest, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/")
+    return F.when(path.startswith("sharepoint://") & drive_url.rlike("(?i)^https?://"), F.concat(F.regexp_replace(drive_url, "/+$", ""), F.lit("/"), parts)).otherwise(path)
+
+
+def blob_link(url: Column) -> Column:
+    """An address without its query, fragment and access signature."""
+    return F.regexp_replace(url, r"[?#].*$", "")
+
+
+def with_drive(paths: DataFrame, drives: DataFrame) -> DataFrame:
+    """paths (path, drive_kind, drive_name, drive_id) with the link of each: the discovered drive (kind, name, id, url) is the
+    first by url of that id, or else of that kind and name, without regard to case."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    by_id = drives.filter("id <> ''").groupBy(low(F.col("id")).alias("_id")).agg(F.min("url").alias("_by_id"))
+    by_name = drives.groupBy(low(F.col("kind")).alias("_kind"), low(F.col("name")).alias("_name")).agg(F.min("url").alias("_by_name"))
+    keyed = paths.withColumns({"_id": low(F.col("drive_id")), "_kind": low(F.col("drive_kind")), "_name": low(F.col("drive_name"))})
+    found = keyed.join(by_id, "_id", "left").join(by_name, ["_kind", "_name"], "left")
+    return found.select(*paths.columns, storage_link(F.col("path"), F.coalesce("_by_id", "_by_name")).alias("link"))

@@ -154,8 +154,9 @@ class Matcher:
     def _matches(self, k: int, text: str, path: str, start: int, end: int, known: int, more: bool) -> Iterator[tuple]:
         rule, group = self.rules[k], self.groups.get(k, 0)
         for m in self.regexes[k].finditer(text, start, end):
-            # A match that ends where the window before does was found there; one that the next window has whole counts there.
-            if (m.end() <= known and start < known) or (more and m.end() == end and m.start() >= end - self.reading.overlap):
+            # A match that reaches the end of a window counts in the next, if that has it whole; all before counted here.
+            met = start < known and (m.end() < known or (m.end() == known and m.start() == start))
+            if met or (more and m.end() == end and m.start() > end - self.reading.overlap):
                 continue
             g = group if m[group] is not None else 0
             at, raw = m.start(g), m[g]

@@ -21,7 +21,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATH = "'docs/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || coalesce(doc_id::varchar, 'none') || '.txt'"
 DIGITS = r"regexp_replace(v, '[^0-9]', '', 'g')"
 LUHN = "(list_sum(list_transform(range(length(d)), lambda i: case when i % 2 = 0 then substr(d, length(d) - i, 1)::int else (substr(d, length(d) - i, 1)::int * 2) // 10 + (substr(d, length(d) - i, 1)::int * 2) % 10 end)) % 10 = 0)"
-CARD = r"\b(?:4[0-9]{15}|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b|\b(?:4[0-9]{3}|5[1-5][0-9]{2}|6011|65[0-9]{2})[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b|\b3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}\b"
+#: The patterns of the payment-card rule.
+CARD = r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b|\b(?:4[0-9]{3}(?:[ -]?[0-9]{4}){3}|5[1-5][0-9]{2}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|6(?:011|5[0-9]{2})(?:[ -]?[0-9]{4}){3})\b"
 HEX = "token = \"([0-9a-f]{40})\""
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
 PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"

@@ -38,7 +38,7 @@ def jira_issues(issues: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def wiki_pages(pages: DataFrame, comments: DataFrame, depth: int = 32) -> DataFrame:
-    """Pages with their comment trees: children follow their parent, level by level. Comments that go on below `depth` are an
+    """Pages, and blog posts where a column kind says so, with their comment trees: children follow their parent, level by level. Comments that go on below `depth` are an
     error, not left out."""
     level = comments.filter("parent_id is null").select("page_id", "comment_id", "body", F.lit(0).alias("depth"))
     tree = level
@@ -52,10 +52,18 @@ def wiki_pages(pages: DataFrame, comments: DataFrame, depth: int = 32) -> DataFr
     said = tree.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "comment_id", "body"))), lambda c: markup.html_text(c["body"])), "\n").alias("comments"))
     rows = pages.join(said, "page_id", "left")
     text = F.concat_ws("\n", _line("Title", F.col("title")), markup.html_text(F.col("body")), F.col("comments"))
-    path = F.concat(F.lit("atlassian://"), F.col("site"), F.lit("/confluence/spaces/"), F.col("space"), F.lit("/pages/"), F.col("page_id").cast("string"), F.lit(".txt"))
+    path = F.concat(F.lit("atlassian://"), F.col("site"), F.lit("/confluence/spaces/"), F.col("space"), F.when(F.col("kind") == "blogpost", "/blogposts/").otherwise("/pages/") if "kind" in pages.columns else F.lit("/pages/"), F.col("page_id").cast("string"), F.lit(".txt"))
     return items(rows, path, text, item_id=F.col("page_id").cast("string"), version=F.col("version").cast("string"))
 
 
+def wiki_attachments(rows: DataFrame) -> DataFrame:
+    """(path, name, url, item_id, version) of pages' attachments (site, space, page_id, attachment_id, title, url, version), the
+    newest version of each."""
+    newest = rows.groupBy("site", "space", "page_id", "attachment_id").agg(F.max_by(F.struct("title", "url"), "version").alias("a"), F.max("version").alias("version"))
+    path = F.concat(F.lit("atlassian://"), F.col("site"), F.lit("/confluence/spaces/"), F.col("space"), F.lit("/pages/"), F.col("page_id").cast("string"), F.lit("/attachments/"), F.col("a.title"))
+    return newest.select(path.alias("path"), F.col("a.title").alias("name"), F.col("a.url").alias("url"), F.col("attachment_id").cast("string").alias("item_id"), F.col("version").cast("string").alias("version"))
+
+
 def json_records(rows: DataFrame, kind: str) -> DataFrame:
     """Any service's records (id, json) as `.json` items of their flattened text."""
     path = F.concat(F.lit(f"sharepoint-data://{kind}/"), F.col("id").cast("string"), F.lit(".json"))
