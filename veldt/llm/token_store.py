@@ -16,6 +16,7 @@ empty table writes no files and gives no rows; other columns aren't read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -42,6 +43,10 @@ SHARD_BYTES, FILE_TOKENS = 12 << 20, 4_000_000
 MAGIC = b"VWM2"
 
 
+#: A piece that ends in ASCII marks after an ASCII letter. An apostrophe may belong to the letters after it, < to a special token.
+_ENDED = re.compile(rb"([^<]*[a-z])([!-&(-/:;=-@\[-`{-~]+)").fullmatch
+
+
 class Encoder:
     """Ids of texts. Where the tokenizer drops white space and never looks across it, pieces between ASCII white space are
     encoded once each and kept: two generations of up to `limit` pieces, so that frequent ones stay. Other tokenizers encode
@@ -55,6 +60,10 @@ class Encoder:
 
         self.tokenizer, self.limit, self.known, self.old, self.whole = Tokenizer.from_file(path), limit, {}, {}, False
         special = self.tokenizer.get_added_tokens_decoder()
+        suffix, self.last = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
+        if suffix:
+            self.last = np.zeros(1 << BITS, bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix) and i < 1 << BITS]] = True
         self.part_id, self.part = next(((i, t.content) for i, t in sorted(special.items()) if t.content.startswith("<|")), (None, None))
         if self.tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError(f"{path}: ids have more than {BITS} bits")
@@ -90,33 +99,32 @@ class Encoder:
         return text.split() if b"<|" in text else text.lower().split()
 
     def _add(self, pieces: set[bytes]) -> None:
-        """Ids of pieces that aren't known. A full stop or comma at the end after a letter is a pre-token of its own, so such
-        pieces are made of two known ones."""
-        ended = [p for p in pieces if len(p) > 1 and p[-1] in b".," and 97 <= p[-2] <= 122]
-        stems = {p[:-1] for p in ended} | {p[-1:] for p in ended}
-        self._encode(list((pieces.difference(ended) | stems).difference(self.known)))
-        for p in ended:
-            self.known[p] = self.known[p[:-1]] + self.known[p[-1:]]
+        """Ids of pieces that aren't known. Marks at the end, after a letter, are a pre-token of their own, so such pieces are
+        made of two known ones."""
+        ended = [m for m in map(_ENDED, pieces) if m]
+        stems = {m[1] for m in ended} | {m[2] for m in ended}
+        self._encode(list((pieces.difference([m[0] for m in ended]) | stems).difference(self.known)))
+        known = self.known
+        for m in ended:
+            known[m[0]] = known[m[1]] + known[m[2]]
 
     def _encode(self, pieces: list[bytes]) -> None:
         """Encodes many pieces in one text. Words of letters alone, in their normal form, are a pre-token each, so blanks can
         part them; what else has no special token is parted by one; the rest is encoded piece by piece."""
-        simple, plain, rest = [], [], []
-        for p in pieces:
+        simple, plain, rest = [p for p in pieces if p.isalpha() and p.islower()], [], []
+        for p in set(pieces).difference(simple):
             text = p.decode(errors="replace")
-            if text.isalpha() and text == text.lower() and (text.isascii() or is_normalized("NFC", text)):
-                simple.append((p, text))
+            if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+                simple.append(p)
             else:
                 (rest if "<|" in text else plain).append((p, text))
         for i in range(0, len(simple), 4000):
             part = simple[i : i + 4000]
-            found = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
-            ids, word = array("H", found.ids).tobytes(), np.array(found.word_ids)
-            ends = (2 * np.searchsorted(word, np.arange(len(part)), "right")).tolist()
-            if word[-1] + 1 != len(part):
+            ids, ends = self._words(b" ".join(part).decode())
+            if len(ends) != len(part):
                 raise ValueError("a word was split before encoding")
             start = 0
-            for (p, _), end in zip(part, ends, strict=True):
+            for p, end in zip(part, ends, strict=True):
                 self.known[p] = ids[start:end]
                 start = end
         for i in range(0, len(plain), 2000):
@@ -127,6 +135,16 @@ class Encoder:
         for p, text in rest:
             self.known[p] = array("H", self._ids(text)).tobytes()
 
+    def _words(self, text: str) -> tuple[bytes, list[int]]:
+        """The ids of a text of words, two bytes each, and where each word ends: at a token that only ends words, if there are
+        such tokens."""
+        if self.last is None:
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            word = np.array(found.word_ids)
+            return array("H", found.ids).tobytes(), (2 * np.searchsorted(word, np.arange(word[-1] + 1), "right")).tolist()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+        return ids.tobytes(), (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -143,10 +161,9 @@ def build(ids: np.ndarray) -> list[tuple[int, bytes, bytes]]:
     """For each bit, highest first: the number of zeros, the bits, the ones before every SUPER-th bit."""
     planes, now = [], ids.astype(np.uint16)
     for bit in range(BITS - 1, -1, -1):
-        b = ((now >> bit) & 1).astype(np.uint8)
-        planes.append((int(len(b) - b.sum()), *_pack(b)))
-        ones = b.astype(bool)
-        now = np.concatenate([now[~ones], now[ones]])
+        ones = (now & np.uint16(1 << bit)) != 0
+        planes.append((int(len(ones) - np.count_nonzero(ones)), *_pack(ones.view(np.uint8))))
+        now = np.concatenate([np.compress(~ones, now), np.compress(ones, now)])
     return planes
 
 
@@ -274,7 +291,7 @@ class Wavelet:
         for level in range(BITS - 1, -1, -1):
             b = np.unpackbits(self.plane(level))[: self.n].astype(bool)
             out = np.empty(self.n, np.uint16)
-            out[~b], out[b] = now[: self.zeros[level]], now[self.zeros[level] :]
+            out[np.flatnonzero(~b)], out[np.flatnonzero(b)] = now[: self.zeros[level]], now[self.zeros[level] :]
             now = out | (b.astype(np.uint16) << np.uint16(BITS - 1 - level))
         return now
 
