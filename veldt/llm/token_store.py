@@ -27,6 +27,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,8 +39,8 @@ END_ID, BITS, SUPER = 1, 16, 512
 #: Bytes of a plane's block.
 PLANE_BLOCK = 8192
 PROBE = "The 12,5 quick-brown Fox's, jumped. Over ÉÈ ß 東京 <|x a@b.c  end.\n\tA,b. www.X.org/y?z=1 don't U.S."
-#: Bytes of text in a shard, about; and tokens from which a shard's rows are cut into another file.
-SHARD_BYTES, FILE_TOKENS = 12 << 20, 4_000_000
+#: Bytes of text in a shard, about; tokens from which a shard's rows are cut into another file; bytes of text encoded at a time.
+SHARD_BYTES, FILE_TOKENS, SLICE_BYTES = 12 << 20, 4_000_000, 8 << 20
 MAGIC = b"VWM2"
 
 
@@ -79,19 +80,46 @@ class Encoder:
         return cls.opened[path]
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text with the end id, two bytes each."""
         if self.whole:
             return [array("H", [*x.ids, END_ID]).tobytes() for x in self.tokenizer.encode_batch([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
         pieces = [self._pieces(t) for t in texts]
-        fresh = set().union(*pieces).difference(self.known)
+        self._learn(set().union(*pieces))
+        end = struct.pack("<H", END_ID)
+        return [b"".join(map(self.known.__getitem__, ps)) + end for ps in pieces]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, each text's with the end id behind them, and how many each text has. Arrow splits the
+        texts and numbers their pieces, so Python sees each distinct piece once."""
+        texts = pc.fill_null(texts, "")
+        if self.whole or pc.any(pc.match_substring(texts, "<|")).as_py():
+            found = self.batch(utf8(texts))
+            return np.frombuffer(b"".join(found), "<u2"), np.array([len(x) // 2 for x in found], np.int64)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        pieces = coded.dictionary.cast(pa.binary()).to_pylist()
+        self._learn(set(pieces) - {b""})
+        parts = [self.known[p] if p else b"" for p in pieces] + [struct.pack("<H", END_ID)]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(parts) - 1)
+        lengths = sizes[order]
+        upto = np.cumsum(lengths)
+        place = np.repeat((np.cumsum(sizes) - sizes)[order] - (upto - lengths), lengths)
+        place += np.arange(len(place))
+        last = upto[ends + np.arange(len(ends))]
+        return np.frombuffer(b"".join(parts), "<u2")[place], np.diff(last, prepend=0)
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Afterwards `known` has all of the pieces."""
+        fresh = pieces.difference(self.known)
         if len(self.known) + len(fresh) > self.limit:
             self.old, self.known = self.known, {}
-            fresh = set().union(*pieces)
+            fresh = pieces
         if kept := fresh & self.old.keys():
             self.known.update((p, self.old[p]) for p in kept)
-            fresh -= kept
+            fresh = fresh - kept
         self._add(fresh)
-        end = struct.pack("<H", END_ID)
-        return [b"".join(map(self.known.__getitem__, ps)) + end for ps in pieces]
 
     @staticmethod
     def _pieces(text: bytes) -> list[bytes]:
@@ -151,10 +179,10 @@ class Encoder:
 
 def _pack(bits: np.ndarray) -> tuple[bytes, bytes]:
     """A plane's bits and the number of ones before every SUPER-th bit."""
-    whole = np.zeros(-(-len(bits) // SUPER) * SUPER, np.uint8)
-    whole[: len(bits)] = bits
-    ones = np.concatenate([[0], np.cumsum(whole.reshape(-1, SUPER).sum(1, dtype=np.uint32), dtype=np.uint32)]).astype("<u4")
-    return np.packbits(whole).tobytes(), ones.tobytes()
+    packed = np.zeros(-(-len(bits) // SUPER) * SUPER // 8, np.uint8)
+    packed[: -(-len(bits) // 8)] = np.packbits(bits)
+    ones = np.bitwise_count(packed.view("<u8")).reshape(-1, SUPER // 64).sum(1, dtype=np.uint32)
+    return packed.tobytes(), np.concatenate([[0], np.cumsum(ones, dtype=np.uint32)]).astype("<u4").tobytes()
 
 
 def build(ids: np.ndarray) -> list[tuple[int, bytes, bytes]]:
@@ -289,10 +317,11 @@ class Wavelet:
         """All tokens in order, level by level from the last."""
         now = np.zeros(self.n, np.uint16)
         for level in range(BITS - 1, -1, -1):
-            b = np.unpackbits(self.plane(level))[: self.n].astype(bool)
-            out = np.empty(self.n, np.uint16)
-            out[np.flatnonzero(~b)], out[np.flatnonzero(b)] = now[: self.zeros[level]], now[self.zeros[level] :]
-            now = out | (b.astype(np.uint16) << np.uint16(BITS - 1 - level))
+            one = np.unpackbits(self.plane(level))[: self.n].view(bool)
+            out, zeros = np.empty(self.n, np.uint16), self.zeros[level]
+            out[np.flatnonzero(~one)] = now[:zeros]
+            out[np.flatnonzero(one)] = now[zeros:] | np.uint16(1 << (BITS - 1 - level))
+            now = out
         return now
 
 
@@ -303,21 +332,23 @@ def _files(path: str):
         from pyspark import TaskContext
 
         encoder, shard, part = Encoder.of(path), TaskContext.get().partitionId(), 0
-        docs, held, size = [], [], 0
+        docs, held, sizes, size = [], [], [], 0
 
         def file() -> pa.RecordBatch:
-            data = write_shard(shard, part, docs, [len(x) // 2 for x in held], np.frombuffer(b"".join(held), "<u2"))
+            data = write_shard(shard, part, docs, np.concatenate(sizes), np.concatenate(held))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 400):
-                some = batch.slice(start, 400)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.batch(utf8(some.column("text"))), strict=True):
-                    docs.append(doc), held.append(ids)
-                    size += len(ids) // 2
-                    if size >= FILE_TOKENS:
-                        yield file()
-                        docs, held, size, part = [], [], 0, part + 1
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
+            for start in range(0, batch.num_rows, rows):
+                some = batch.slice(start, rows)
+                ids, counts = encoder.column(some.column("text"))
+                docs += some.column("doc_id").to_pylist()
+                held.append(ids), sizes.append(counts)
+                size += len(ids)
+                if size >= FILE_TOKENS:
+                    yield file()
+                    docs, held, sizes, size, part = [], [], [], 0, part + 1
         if docs:
             yield file()
 
