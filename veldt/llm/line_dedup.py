@@ -10,6 +10,9 @@ Every run of MIN_RUN words or more is made of such least runs and of lines witho
 own, chained to that of the least run), and each of them occurs first where the whole run does or earlier. So exactly the
 lines go that are in a run of that many words of which an earlier place has an equal one, whichever places have its parts.
 
+The work grows with the number of lines, but for lines without words in a row: each of them has a key made of those before it,
+so it grows with the square of how many are in one row of them.
+
 All is DataFrame expressions; texts are read once and reduced to hashes and word counts of lines. Places of a frequent
 key meet one row, so a passage in a third of all documents is a skewed join that Spark splits, not a group.
 
@@ -80,13 +83,15 @@ def least_runs(rows: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return lines.select("row", "doc_id", F.explode(every).alias("run")).select("row", "doc_id", "run.*")
 
 
-def _joined(runs: Column) -> Column:
-    """The union of runs, in order, as runs that don't touch."""
-    kind = "array<struct<from:int,to:int>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("from"), F.lit(-1).alias("to"))
-    closed = lambda a: F.when(a["from"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["from"].alias("from"), a["to"].alias("to")))))
-    step = lambda a, r: F.when((a["from"] >= 0) & (r["from"] <= a["to"]), F.struct(a["done"].alias("done"), a["from"].alias("from"), F.greatest(a["to"], r["to"]).alias("to"))).otherwise(F.struct(closed(a).alias("done"), r["from"].alias("from"), r["to"].alias("to")))
-    return F.aggregate(F.sort_array(runs), start, step, closed)
+def _joined(runs: DataFrame) -> DataFrame:
+    """(row, runs): of each row the union of its runs (row, from, to), in order, as runs that don't touch."""
+    order = Window.partitionBy("row").orderBy("from", "to")
+    upto = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(upto.isNull() | (F.col("from") > upto), 1).otherwise(0)
+    marked = runs.withColumn("_apart", apart)
+    island = F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    joined = marked.withColumn("_island", island).groupBy("row", "_island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
 def repeats(rows: DataFrame, stage: Stage, gram: int = GRAM, winnow: int = WINNOW, min_run: int = MIN_RUN) -> DataFrame:
@@ -101,7 +106,7 @@ def repeats(rows: DataFrame, stage: Stage, gram: int = GRAM, winnow: int = WINNO
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "from")
     first = least.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.row").alias("first_row"), F.col("first.from").alias("first_from"))
     later = least.join(first, "key").filter((F.col("row") != F.col("first_row")) | (F.col("from") != F.col("first_from")))
-    return later.groupBy("row").agg(_joined(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    return _joined(later.select("row", "from", "to"))
 
 
 def deleted(runs: Column) -> Column:
