@@ -39,6 +39,8 @@ def staging_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+#: Bytes that a writer of a staged table holds before it writes them.
+ROW_GROUP = 32 << 20
 #: Paths made in each open scope, the innermost last.
 _scopes: list[list[str]] = []
 
@@ -80,7 +82,7 @@ class Stage:
 
     def put(self, name: str, frame: DataFrame, files: int | None = None) -> DataFrame:
         path = new_path(self.spark, f"{self.label}-{name}", self.held)
-        (frame.coalesce(files) if files else frame).write.option("compression", "zstd").parquet(path)
+        (frame.coalesce(files) if files else frame).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(frame.schema).parquet(path)
 

@@ -40,7 +40,7 @@ END_ID, BITS, SUPER = 1, 16, 512
 PLANE_BLOCK = 8192
 PROBE = "The 12,5 quick-brown Fox's, jumped. Over ÉÈ ß 東京 <|x a@b.c  end.\n\tA,b. www.X.org/y?z=1 don't U.S."
 #: Bytes of text in a shard, about; tokens from which a shard's rows are cut into another file; bytes of text encoded at a time.
-SHARD_BYTES, FILE_TOKENS, SLICE_BYTES = 12 << 20, 4_000_000, 8 << 20
+SHARD_BYTES, FILE_TOKENS, SLICE_BYTES = 12 << 20, 4_000_000, 4 << 20
 MAGIC = b"VWM2"
 
 
@@ -55,7 +55,7 @@ class Encoder:
 
     opened: ClassVar[dict[str, Encoder]] = {}
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
 
@@ -100,15 +100,15 @@ class Encoder:
         pieces = coded.dictionary.cast(pa.binary()).to_pylist()
         self._learn(set(pieces) - {b""})
         parts = [self.known[p] if p else b"" for p in pieces] + [struct.pack("<H", END_ID)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 2
         ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
         order = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(parts) - 1)
         lengths = sizes[order]
-        upto = np.cumsum(lengths)
-        place = np.repeat((np.cumsum(sizes) - sizes)[order] - (upto - lengths), lengths)
-        place += np.arange(len(place))
+        upto = np.cumsum(lengths, dtype=np.int32)
+        place = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[order] - (upto - lengths), lengths)
+        place += np.arange(len(place), dtype=np.int32)
         last = upto[ends + np.arange(len(ends))]
-        return np.frombuffer(b"".join(parts), "<u2")[place], np.diff(last, prepend=0)
+        return np.frombuffer(b"".join(parts), "<u2")[place], np.diff(last, prepend=0).astype(np.int64)
 
     def _learn(self, pieces: set[bytes]) -> None:
         """Afterwards `known` has all of the pieces."""
