@@ -145,6 +145,20 @@ def test_windows_find_what_the_whole_text_has(spark):
     assert [s[:2] for s in Reading(window=10, overlap=4).spans(0)] == [(0, 0)]
 
 
+def test_matches_longer_than_the_overlap_count_once(spark):
+    from veldt.operators.content import Matcher, Reading
+
+    rules = [Rule(n, (Match("Content", (p,), extensions=(".txt",)),)) for n, p in (("N", "[0-9]{3,}"), ("M", r"[0-9]{3,}(?= )|[a-z]+!?"))]
+    text = "".join(f"{'1' * (k * 7 % 90)}{'ab'[: k % 3]}{' ' * (k % 2)}{'x' * (k * 5 % 60)}!" for k in range(90)) + "7" * 300
+    want = set(Matcher(rules, Reading(window=0)).find(text, "a.txt", ".txt", []))
+    for window in range(20, 60):
+        got = list(Matcher(rules[:1], Reading(window=window, overlap=12)).find(text, "a.txt", ".txt", []))
+        assert len(got) == len(set(got)) and set(got) == {m for m in want if m[0] == 0}
+    assert len(list(Matcher(rules[:1], Reading()).find("a" * 60_000 + "1" * 10_000 + " 123", "a.txt", ".txt", []))) == 2
+    for window in (200, 250, 300):
+        assert set(Matcher(rules, Reading(window=window, overlap=120)).find(text, "a.txt", ".txt", [])) == want
+
+
 def test_items_are_told_apart_by_their_ids(spark):
     rule = Rule("Pin", (Match("Content", ("pin=[0-9]+",), extensions=(".txt",)),), min_match=2)
     rows = spark.createDataFrame([(1, "u/x.txt", "pin=1"), (2, "u/x.txt", "pin=2"), (None, "u/y.txt", "pin=1"), (None, "u/y.txt", "pin=2")], "id long, path string, text string")

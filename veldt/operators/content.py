@@ -41,14 +41,14 @@ class Reading:
     sample_over: int | None = None
     part: int = 1 << 20
 
-    def spans(self, n: int) -> Iterator[tuple[int, int, int, bool]]:
-        """Of a text of n characters: start, end, the place up to which matches are known, whether another window follows."""
+    def spans(self, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """Of a text of n characters: start, end, the place up to which matches are known, the end of what is read on from there."""
         parts = [(0, n)] if self.sample_over is None or n <= self.sample_over else [(0, min(n, self.part)), (max(n - self.part, min(n, self.part)), n)]
         for low, high in parts:
             start, known = low, low
             while start < high or start == low:
                 end = min(high, start + self.window) if self.window else high
-                yield start, end, known, end < high
+                yield start, end, known, high
                 if end == high:
                     break
                 known, start = end, end - self.overlap
@@ -146,18 +146,25 @@ class Matcher:
         scoped = self.scoped(ext, opened)
         if not scoped:
             return
-        for start, end, known, more in self.reading.spans(len(text)):
+        passed: dict[int, int] = {}
+        for start, end, known, high in self.reading.spans(len(text)):
             for k in self.tries(text[start:end] if start or end < len(text) else text, scoped):
-                for found in self._matches(k, text, path, start, end, known, more):
+                for found in self._matches(k, text, path, start, end, known, high, passed):
                     yield k, *found
 
-    def _matches(self, k: int, text: str, path: str, start: int, end: int, known: int, more: bool) -> Iterator[tuple]:
+    def _matches(self, k: int, text: str, path: str, start: int, end: int, known: int, high: int, passed: dict[int, int]) -> Iterator[tuple]:
+        """The matches of a rule in a window. `passed` has, by rule, the place up to which matches have been told."""
         rule, group = self.rules[k], self.groups.get(k, 0)
-        for m in self.regexes[k].finditer(text, start, end):
+        for m in self.regexes[k].finditer(text, max(start, passed.get(k, 0)), end):
             # A match that reaches the end of a window counts in the next, if that has it whole; all before counted here.
             met = start < known and (m.end() < known or (m.end() == known and m.start() == start))
-            if met or (more and m.end() == end and m.start() > end - self.reading.overlap):
+            if met or (m.end() == end < high and m.start() > end - self.reading.overlap):
                 continue
+            if m.end() == end < high:  # longer than the overlap, so the next hasn't it whole: read on from there in a window twice as long
+                passed[k] = m.start()
+                yield from self._matches(k, text, path, start, min(high, start + 2 * (end - start)), known, high, passed)
+                return
+            passed[k] = m.end()
             g = group if m[group] is not None else 0
             at, raw = m.start(g), m[g]
             value = raw.strip()
