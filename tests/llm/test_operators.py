@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -623,6 +624,22 @@ def test_tokenizers_that_look_across_blanks_encode_whole_texts(docs):
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.batch([t.encode() for t in texts])] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_words_are_encoded_once_whatever_marks_they_stand_with():
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    whole, rng = tokenizers.Tokenizer.from_file(path), random.Random(7)
+    marks = [".", ",", "***", "%%%", "'", "='", "\u0338=", ""]
+    words = ["ende", "größe", "naß", "where", "İ", "×", "don't", "東京", "a1", "é\u0301", "—", "<b>", "ŉ"]
+    texts = [None, "", " \n", *("".join(rng.choice([*words, *marks, " "]) for _ in range(30)) for _ in range(300))]
+    encoder = token_store.Encoder(path)
+    ids, sizes = encoder.column(pa.array(["before", *texts]).slice(1))
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    encoder = token_store.Encoder(path)
+    encoder.column(pa.array([f"{b}{w}{a}" for w in ("ende", "größe", "naß") for b in ("(", "**") for a in (".", ",", "***", "'")]))
+    assert {p.decode() for p in encoder.known} == {"ende", "größe", "naß", "(", "**", ".", ",", "***", "'"}
+
+
 def test_scopes_delete_what_was_staged(spark, docs, tmp_path):
     from veldt.llm import common
 

@@ -46,6 +46,34 @@ MAGIC = b"VWM2"
 
 #: A piece that ends in ASCII marks after an ASCII letter. An apostrophe may belong to the letters after it, < to a special token.
 _ENDED = re.compile(rb"([^<]*[a-z])([!-&(-/:;=-@\[-`{-~]+)").fullmatch
+#: By byte: ASCII letters in lower case, ASCII marks, first bytes of the letters from À to ſ.
+_LETTER, _MARK, _LATIN = (np.isin(np.arange(256), list(x)) for x in (range(97, 123), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], range(0xC3, 0xC6)))
+#: × and ÷ aren't letters, and İ becomes a letter and a mark.
+_NOT_LATIN = [0xC397, 0xC3B7, 0xC4B0]
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the parts of words without special tokens begin: at each word, at an ASCII mark after an ASCII or Latin letter and
+    at an ASCII letter after an ASCII mark other than an apostrophe. Pre-tokens and normal forms never reach across these."""
+    if not len(data):
+        return np.empty(0, np.int64)
+    mark, begin = _MARK[data], np.zeros(len(data), bool)
+    begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    at = np.flatnonzero(mark[1:] > mark[:-1]) + 1
+    last, first = data[at - 1], data[at - 2]
+    begin[at[_LETTER[last] | (_LATIN[first] & (last >= 0x80) & ~np.isin(first.astype(np.int32) << 8 | last, _NOT_LATIN))]] = True
+    at = np.flatnonzero(mark[1:] < mark[:-1]) + 1
+    begin[at[_LETTER[data[at]] & (data[at - 1] != ord("'"))]] = True
+    return np.flatnonzero(begin)
+
+
+def _laid(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of parts of `sizes` ids one behind the other, the ids of the parts in `order`, and where each of these ends."""
+    lengths = sizes[order]
+    upto = np.cumsum(lengths, dtype=np.int32)
+    place = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[order] - (upto - lengths), lengths)
+    place += np.arange(len(place), dtype=np.int32)
+    return ids[place], upto
 
 
 class Encoder:
@@ -84,7 +112,7 @@ class Encoder:
         if self.whole:
             return [array("H", [*x.ids, END_ID]).tobytes() for x in self.tokenizer.encode_batch([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
         pieces = [self._pieces(t) for t in texts]
-        self._learn(set().union(*pieces))
+        self._learn(list(set().union(*pieces)))
         end = struct.pack("<H", END_ID)
         return [b"".join(map(self.known.__getitem__, ps)) + end for ps in pieces]
 
@@ -97,28 +125,37 @@ class Encoder:
             return np.frombuffer(b"".join(found), "<u2"), np.array([len(x) // 2 for x in found], np.int64)
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = words.flatten().dictionary_encode()
-        pieces = coded.dictionary.cast(pa.binary()).to_pylist()
-        self._learn(set(pieces) - {b""})
-        parts = [self.known[p] if p else b"" for p in pieces] + [struct.pack("<H", END_ID)]
-        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 2
+        ids, sizes = self._dictionary(coded.dictionary.cast(pa.large_binary()))
+        ids, sizes = np.append(ids, np.uint16(END_ID)), np.append(sizes, np.int32(1))
         ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
-        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(parts) - 1)
-        lengths = sizes[order]
-        upto = np.cumsum(lengths, dtype=np.int32)
-        place = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[order] - (upto - lengths), lengths)
-        place += np.arange(len(place), dtype=np.int32)
-        last = upto[ends + np.arange(len(ends))]
-        return np.frombuffer(b"".join(parts), "<u2")[place], np.diff(last, prepend=0).astype(np.int64)
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        """Afterwards `known` has all of the pieces."""
-        fresh = pieces.difference(self.known)
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(sizes) - 1)
+        ids, upto = _laid(ids, sizes, order)
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0).astype(np.int64)
+
+    def _dictionary(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one behind the other, and how many each has. Words are cut at marks and their parts
+        numbered in turn, so that a word is encoded once whatever marks it stands with."""
+        _, places, data = words.buffers()
+        offsets = np.frombuffer(places, "<i8")[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        begin = _cuts(data, offsets)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        pieces = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(pieces)
+        found = [self.known[p] for p in pieces]
+        ids, upto = _laid(np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int32, len(found)) // 2, parts.indices.to_numpy(zero_copy_only=False))
+        return ids, np.diff(np.append(np.int32(0), upto)[np.searchsorted(begin, offsets)])
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Afterwards `known` has all of the pieces, which are distinct."""
+        fresh = [p for p in pieces if p not in self.known]
         if len(self.known) + len(fresh) > self.limit:
             self.old, self.known = self.known, {}
             fresh = pieces
-        if kept := fresh & self.old.keys():
-            self.known.update((p, self.old[p]) for p in kept)
-            fresh = fresh - kept
+        if self.old:
+            self.known.update((p, self.old[p]) for p in fresh if p in self.old)
+            fresh = [p for p in fresh if p not in self.known]
         self._add(fresh)
 
     @staticmethod
@@ -126,21 +163,25 @@ class Encoder:
         """The pieces of a text in lower case, as the tokenizer has them; their case stays where a special token may occur."""
         return text.split() if b"<|" in text else text.lower().split()
 
-    def _add(self, pieces: set[bytes]) -> None:
+    def _add(self, pieces: list[bytes]) -> None:
         """Ids of pieces that aren't known. Marks at the end, after a letter, are a pre-token of their own, so such pieces are
         made of two known ones."""
-        ended = [m for m in map(_ENDED, pieces) if m]
-        stems = {m[1] for m in ended} | {m[2] for m in ended}
-        self._encode(list((pieces.difference([m[0] for m in ended]) | stems).difference(self.known)))
         known = self.known
+        if ended := [m for m in (_ENDED(p) for p in pieces if not p.isalpha()) if m]:
+            stems = {m[1] for m in ended} | {m[2] for m in ended}
+            pieces = [p for p in {*pieces, *stems}.difference([m[0] for m in ended]) if p not in known]
+        self._encode(pieces)
         for m in ended:
             known[m[0]] = known[m[1]] + known[m[2]]
 
     def _encode(self, pieces: list[bytes]) -> None:
         """Encodes many pieces in one text. Words of letters alone, in their normal form, are a pre-token each, so blanks can
         part them; what else has no special token is parted by one; the rest is encoded piece by piece."""
-        simple, plain, rest = [p for p in pieces if p.isalpha() and p.islower()], [], []
-        for p in set(pieces).difference(simple):
+        simple, plain, rest = [], [], []
+        for p in pieces:
+            if p.isalpha() and p.islower():
+                simple.append(p)
+                continue
             text = p.decode(errors="replace")
             if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
                 simple.append(p)
@@ -158,8 +199,11 @@ class Encoder:
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             ids = np.array(self._ids(self.part.join(t for _, t in part)), "<u2")
-            for (p, _), x in zip(part, np.split(ids, np.flatnonzero(ids == self.part_id)), strict=True):
-                self.known[p] = x[x != self.part_id].tobytes()
+            ends = np.flatnonzero(ids == self.part_id)
+            ends, ids, start = (2 * (ends - np.arange(len(ends)))).tolist(), ids[ids != self.part_id].tobytes(), 0
+            for (p, _), end in zip(part, [*ends, len(ids)], strict=True):
+                self.known[p] = ids[start:end]
+                start = end
         for p, text in rest:
             self.known[p] = array("H", self._ids(text)).tobytes()
 
@@ -174,7 +218,7 @@ class Encoder:
         return ids.tobytes(), (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 def _pack(bits: np.ndarray) -> tuple[bytes, bytes]:
